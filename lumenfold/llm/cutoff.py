@@ -11,6 +11,8 @@ from lumenfold.session import small, stage
 SKETCH_K = 1200
 #: First half-width of the bracket around the target rank, as a fraction of the rows still in question.
 SLACK = 0.01
+#: Steps of the grid of ranks that a sketch is asked for.
+GRID = 500
 #: A bracket of at most so many distinct scores is ranked exactly.
 BRACKET_SCORES = 5_000
 
@@ -62,12 +64,12 @@ def _narrow(rows: DataFrame, state: DataFrame, slack: float, over: int) -> DataF
     sketch = inside.select("source", "band", each.alias("score")).groupBy("source", "band").agg(F.kll_sketch_agg_double("score", F.lit(SKETCH_K)).alias("sk"))
     # rank from below of the wanted row, as a fraction of the rows inside
     at = 1 - (F.col("need") - F.col("above")) / F.col("inside")
-    bounds = sketch.join(wide, ["source", "band"]).select(
-        "source",
-        "band",
-        F.kll_sketch_get_quantile_double("sk", F.greatest(F.lit(0.0), at - slack)).alias("new_lo"),
-        F.kll_sketch_get_quantile_double("sk", F.least(F.lit(1.0), at + slack)).alias("new_hi"),
-    )
+    # the ranks asked of a sketch must be constant: it gives its quantiles on a grid, and each bracket takes its two
+    grid = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
+    low = F.greatest(F.lit(0), F.floor((at - slack) * GRID)).cast("int") + 1
+    high = F.least(F.lit(GRID), F.ceil((at + slack) * GRID)).cast("int") + 1
+    quantiles = sketch.withColumn("q", F.kll_sketch_get_quantile_double("sk", grid)).drop("sk")
+    bounds = quantiles.join(wide, ["source", "band"]).select("source", "band", F.element_at("q", low).alias("new_lo"), F.element_at("q", high).alias("new_hi"))
     counted = (
         inside.join(small(bounds), ["source", "band"])
         .groupBy("source", "band", "new_lo", "new_hi")
