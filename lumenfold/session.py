@@ -60,7 +60,7 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     """Writes df as a Parquet table in the shared folder and reads it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    writer = df.write.option("compression", "lz4raw" if name.startswith("vec") else "zstd")
+    writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
