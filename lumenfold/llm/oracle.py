@@ -21,3 +21,21 @@ f AS (SELECT t.dataset, t.band, max(p) AS cutoff, min(kept) AS n_kept, arg_max(n
 P5_FOUND = f"{_CUT} SELECT f.band, w.track_id FROM w JOIN f USING (dataset) WHERE w.p >= f.cutoff"
 P5_CUTOFFS = f"""{_CUT} SELECT t.dataset, t.band, t.keep_pm, coalesce((SELECT max(n_rows) FROM k WHERE k.dataset = t.dataset), 0)::BIGINT AS n_rows,
 f.cutoff, coalesce(f.n_kept, 0)::BIGINT AS n_kept, coalesce(f.n_ties, 0)::BIGINT AS n_ties FROM t LEFT JOIN f ON f.dataset = t.dataset AND f.band = t.band"""
+
+_B = r"[\s\x1c-\x1f\x85\pZ]"
+_STATS = rf"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(replace(replace(
+    regexp_replace(coalesce(text, ''), '<[^<>\r\n]*>|\{{[^{{}}\r\n]*\}}|\x{{FEFF}}', '', 'g'), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)),
+    lambda x: regexp_replace(x, '^{_B}+|{_B}+$', '', 'g')),
+    lambda x: x <> '' AND NOT contains(x, '-->') AND NOT regexp_matches(x, '^[0-9]+$') AND x <> 'WEBVTT') AS lines FROM documents),
+b AS (SELECT doc_id, len(lines) AS n_lines, array_to_string(lines, chr(10)) AS body,
+      len(list_filter(lines, lambda x: regexp_matches(x, '[.!?…]["''“”„‘’‚«»‹›]*$'))) AS ended FROM l),
+w AS (SELECT *, regexp_extract_all(body, '\pL+') AS words, (SELECT list(DISTINCT lower(word)) FROM common_words) AS known FROM b),
+m AS (SELECT doc_id, n_lines, len(words) AS n_words, length(array_to_string(words, '')) AS letters,
+      length(regexp_replace(body, '{_B}+', '', 'g')) AS nonblank, ended,
+      len(list_filter(words, lambda x: list_contains(known, lower(x)))) AS common FROM w),
+s AS (SELECT doc_id, n_lines::INT AS n_lines, n_words::INT AS n_words, CASE WHEN n_words > 0 THEN letters / n_words END AS mean_word_len,
+      CASE WHEN nonblank > 0 THEN (nonblank - letters) / nonblank END AS nonletter_share, CASE WHEN n_lines > 0 THEN ended / n_lines END AS end_share,
+      CASE WHEN n_words > 0 THEN common / n_words END AS common_share, CASE WHEN n_lines > 0 THEN n_words / n_lines END AS words_per_line FROM m)"""
+P8_STATS = f"{_STATS} SELECT * FROM s"
+P8_FOUND = f"""{_STATS} SELECT doc_id FROM s WHERE n_words = 0 OR common_share < 0.30 OR nonletter_share > 0.50 OR mean_word_len > 10
+OR (words_per_line < 3 AND end_share < 0.20)"""

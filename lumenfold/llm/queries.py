@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenfold.llm import cutoff, topn
+from lumenfold.llm import cutoff, quality, topn
 from lumenfold.llm import oracle as sql
 from lumenfold.registry import Registry
 from lumenfold.session import table
@@ -34,3 +34,17 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New cutoffs, kept rows and ties per dataset and band."""
     return cutoff.weapons_cutoffs(table(spark, sf_dir, "tracks"), table(spark, sf_dir, "weapons_heads"))[0].withColumnRenamed("source", "dataset")
+
+
+@LLM.add("p8_found", sql.P8_FOUND)
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are not natural speech: caught by the learned rules, then held against the definition."""
+    caught, _ = quality.junk_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"))
+    return caught.where("rule > 0").where(quality.not_speech()).select("doc_id")
+
+
+@LLM.add("p8_stats", sql.P8_STATS)
+def p8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line and word statistics of every document."""
+    words = [r[0] for r in table(spark, sf_dir, "common_words").select("word").distinct().limit(quality.MAX_WORDS + 1).collect() if r[0]]
+    return quality.text_stats(table(spark, sf_dir, "documents"), words)
