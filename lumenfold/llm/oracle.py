@@ -39,3 +39,13 @@ s AS (SELECT doc_id, n_lines::INT AS n_lines, n_words::INT AS n_words, CASE WHEN
 P8_STATS = f"{_STATS} SELECT * FROM s"
 P8_FOUND = f"""{_STATS} SELECT doc_id FROM s WHERE n_words = 0 OR common_share < 0.30 OR nonletter_share > 0.50 OR mean_word_len > 10
 OR (words_per_line < 3 AND end_share < 0.20)"""
+
+_SPEECH = r"""WITH t AS (SELECT doc_id, regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '<[^<>\n]*>|\{[^{}\n]*\}|\x{FEFF}', '', 'g') AS t FROM documents WHERE text IS NOT NULL),
+n AS (SELECT doc_id, regexp_replace(t, '(?m)^(?:[^\S\n]*[0-9]+[^\S\n]*|.*-->.*|[^\S\n]*WEBVTT.*)$', '', 'g') AS t FROM t),
+b AS (SELECT doc_id, regexp_replace(t, '\[[^\[\]]*\]|\([^()]*\)', ' ', 'g') AS t FROM n),
+k AS (SELECT doc_id, regexp_replace(t, '(?m)^[^\S\n]*(?:[-–—][^\S\n]*)?[A-ZÀ-ÖØ-ÞŒŸ][A-ZÀ-ÖØ-ÞŒŸ0-9 .''’\-]*:', ' ', 'g') AS t FROM b),
+w AS (SELECT doc_id, regexp_extract_all(lower(t), '\pL+') AS w FROM k),
+i AS (SELECT item_id, regexp_extract_all(lower(regexp_replace(item_text, '<[^<>\n]*>|\{[^{}\n]*\}', '', 'g')), '\pL+') AS w FROM eval_items),
+dg AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS p FROM w)),
+ig AS (SELECT DISTINCT item_id, array_to_string(w[p:p + 7], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 6)) AS p FROM i))"""
+P6_FOUND = f"{_SPEECH} SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenfold.llm import cutoff, quality, topn
+from lumenfold.llm import cutoff, leak, quality, topn
 from lumenfold.llm import oracle as sql
 from lumenfold.registry import Registry
 from lumenfold.session import table
@@ -48,3 +48,9 @@ def p8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line and word statistics of every document."""
     words = [r[0] for r in table(spark, sf_dir, "common_words").select("word").distinct().limit(quality.MAX_WORDS + 1).collect() if r[0]]
     return quality.text_stats(table(spark, sf_dir, "documents"), words)
+
+
+@LLM.add("p6_found", sql.P6_FOUND)
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the held-out items that their speech holds."""
+    return leak.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
