@@ -55,7 +55,7 @@ class ItemIndex:
     block_max: np.ndarray  # float32 [terms, blocks]
     least: np.ndarray  # float32 [items]: lowest score of a passage that holds OVERLAP words in a row
     block_least: np.ndarray  # float32 [blocks]
-    grams: list[frozenset]  # the items' runs of OVERLAP term numbers
+    grams: dict[tuple, list[int]]  # run of OVERLAP term numbers -> items that hold it
 
     @staticmethod
     def build(items: list[tuple[int, str | None]]) -> ItemIndex:
@@ -70,7 +70,7 @@ class ItemIndex:
         df = Counter(w for _, ws in docs for w in set(ws))
         mean = sum(len(ws) for _, ws in docs) / max(1, len(docs))
         impact = np.zeros((len(vocab), len(docs)), np.float32)
-        least, grams = np.zeros(len(docs), np.float32), []
+        least, grams = np.zeros(len(docs), np.float32), {}
         for j, (_, ws) in enumerate(docs):
             for w, tf in Counter(ws).items():
                 idf = math.log(1 + (len(docs) - df[w] + 0.5) / (df[w] + 0.5))
@@ -78,7 +78,8 @@ class ItemIndex:
             t = [vocab[w] for w in ws]
             runs = {tuple(t[i : i + OVERLAP]) for i in range(len(t) - OVERLAP + 1)}
             least[j] = min(sum(float(impact[k, j]) for k in set(r)) for r in runs) * (1 - 1e-4)
-            grams.append(frozenset(runs))
+            for r in runs:
+                grams.setdefault(r, []).append(j)
         starts = np.arange(0, len(docs), BLOCK)
         block = lambda f, a, axis: f.reduceat(a, starts, axis=axis) if len(docs) else a
         ids = np.array([i for i, _ in docs], np.int64)
@@ -98,7 +99,7 @@ class ItemIndex:
         for n, t in enumerate(terms):
             spans += [(n, s) for s in range(0, max(1, len(t) - OVERLAP + 1), step) if len(t) >= OVERLAP]
         found: set[tuple[int, int]] = set()
-        runs: dict[int, np.ndarray] = {}  # document -> starts of OVERLAP words that all stand in some item
+        runs: dict[int, dict[int, list[int]]] = {}
         chunk = max(64, 8_000_000 // max(1, len(self.vocab)))
         for at in range(0, len(spans), chunk):
             part = spans[at : at + chunk]
@@ -113,13 +114,21 @@ class ItemIndex:
                 for r, j in np.argwhere(inc[rows] @ self.impact[:, cols] >= self.least[cols]):
                     (n, s), item = part[rows[r]], b * BLOCK + int(j)
                     if n not in runs:
-                        sums = np.concatenate([[0], np.cumsum(terms[n] >= 0)])
-                        runs[n] = np.flatnonzero(sums[OVERLAP:] - sums[:-OVERLAP] == OVERLAP)
-                    starts = runs[n][(runs[n] >= s) & (runs[n] <= s + PASSAGE - OVERLAP)] if len(runs[n]) else ()
-                    if (n, item) not in found and any(tuple(terms[n][i : i + OVERLAP].tolist()) in self.grams[item] for i in starts):
+                        runs[n] = self._runs(terms[n])
+                    if any(s <= i <= s + PASSAGE - OVERLAP for i in runs[n].get(item, ())):
                         found.add((n, item))
         return sorted(found)
 
+    def _runs(self, t: np.ndarray) -> dict[int, list[int]]:
+        """item -> places in a document where OVERLAP words of that item stand in a row."""
+        sums = np.concatenate([[0], np.cumsum(t >= 0)])
+        out: dict[int, list[int]] = {}
+        words = t.tolist()
+        for i in np.flatnonzero(sums[OVERLAP:] - sums[:-OVERLAP] == OVERLAP).tolist():
+            for item in self.grams.get(tuple(words[i : i + OVERLAP]), ()):
+                out.setdefault(item, []).append(i)
+        return out
+
 
 def leaks(docs: DataFrame, items: DataFrame, batch: int = 512) -> DataFrame:
     """(doc_id, item_id) of every document whose speech holds OVERLAP consecutive words of an item.
