@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenfold.llm import cutoff, leak, quality, topn
+from lumenfold.llm import cutoff, leak, mix, quality, topn
 from lumenfold.llm import oracle as sql
 from lumenfold.registry import Registry
 from lumenfold.session import table
@@ -54,3 +54,15 @@ def p8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and the held-out items that their speech holds."""
     return leak.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+@LLM.add("p7_mix")
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of the mixture with their copies."""
+    return mix.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+@LLM.add("p7_report")
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares reached by the mixture, one row a source of the targets."""
+    return mix.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
