@@ -6,6 +6,8 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +18,23 @@ BROADCAST_ROWS = 200_000
 _made: list[tuple[SparkSession, str]] = []
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once a session: on a cluster they need not have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lumenfold_shipped", False):
+        return
+    package = Path(__file__).parent
+    target = Path(tempfile.mkdtemp(prefix="lumenfold-")) / "lumenfold_pkg.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(target))
+    sc._lumenfold_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the test tables as a DataFrame."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
