@@ -49,3 +49,10 @@ i AS (SELECT item_id, regexp_extract_all(lower(regexp_replace(item_text, '<[^<>\
 dg AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS p FROM w)),
 ig AS (SELECT DISTINCT item_id, array_to_string(w[p:p + 7], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 6)) AS p FROM i))"""
 P6_FOUND = f"{_SPEECH} SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)"
+
+_VEC = """WITH v AS (SELECT rec_id, dataset, commit_id, lower(trim(image_id)) AS key, list_transform(emb, lambda x: x::DOUBLE) AS e FROM images
+    WHERE emb IS NOT NULL AND len(emb) = 64 AND NOT list_bool_or(list_transform(emb, lambda x: isnan(x))) AND list_bool_or(list_transform(emb, lambda x: x <> 0)))"""
+P3_FOUND = f"""{_VEC}, q AS (SELECT v.* FROM v JOIN (SELECT DISTINCT rec_id FROM sim_probes) USING (rec_id)),
+s AS (SELECT q.rec_id AS a, v.rec_id AS b, list_cosine_similarity(q.e, v.e) AS c FROM q JOIN v ON q.key <> v.key),
+r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS k FROM s)
+SELECT DISTINCT least(a, b) AS rec_a, greatest(a, b) AS rec_b FROM r WHERE k <= 5"""

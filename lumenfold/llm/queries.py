@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lumenfold.llm import cutoff, leak, mix, quality, topn
+from lumenfold.llm import cutoff, leak, mix, neighbours, quality, topn
 from lumenfold.llm import oracle as sql
 from lumenfold.registry import Registry
 from lumenfold.session import table
@@ -66,3 +67,10 @@ def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares reached by the mixture, one row a source of the targets."""
     return mix.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
+@LLM.add("p3_found", sql.P3_FOUND)
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most similar records of every probe, as pairs."""
+    near = neighbours.probe_neighbours(table(spark, sf_dir, "images"), table(spark, sf_dir, "sim_probes"))
+    return near.select(F.least("q_id", "rec_id").alias("rec_a"), F.greatest("q_id", "rec_id").alias("rec_b")).distinct()
