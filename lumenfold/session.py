@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 #: Upper bound on the rows of a side that may be broadcast; beyond it the join shuffles (AQE splits skewed keys).
 BROADCAST_ROWS = 200_000
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -80,7 +82,12 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")  # what was shuffled for this table is not needed once it is written
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
