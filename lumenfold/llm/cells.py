@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 DIM = 64
 #: Rows that centres are fitted on, at most: those of smallest hash.
-FIT_ROWS = 131_072
+FIT_ROWS = 65_536
 #: Centres, at most; every row is compared with all of them once.
 MAX_CELLS = 8_192
 #: A row within this angle of its nearest centre belongs to that cell's core; others are far rows, held in blocks.
@@ -75,9 +75,12 @@ def packed(x: np.ndarray) -> pa.Array:
 
 def unit(x: np.ndarray) -> np.ndarray:
     """Unit rows, computed in double precision: tiny and huge vectors keep their direction."""
-    y = x.astype(np.float64)
-    y /= np.abs(y).max(axis=1, keepdims=True)
-    return (y / np.linalg.norm(y, axis=1, keepdims=True)).astype(np.float32)
+    out = np.empty(x.shape, np.float32)
+    for s in range(0, len(x), 4096):
+        y = x[s : s + 4096].astype(np.float64)
+        y /= np.abs(y).max(axis=1, keepdims=True)
+        out[s : s + 4096] = y / np.linalg.norm(y, axis=1, keepdims=True)
+    return out
 
 
 def exact_cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -120,8 +123,8 @@ class Cells:
         moved to the mean of its rows. Vectors that resemble nothing else get no centre; bounds do not depend on the fit."""
         x = unit(sample) if len(sample) else np.zeros((0, DIM), np.float32)
         leaders = np.zeros((0, DIM), np.float32)
-        for s in range(0, len(x), 2048):
-            part = x[s : s + 2048]
+        for s in range(0, len(x), 1024):
+            part = x[s : s + 1024]
             if len(leaders):
                 part = part[_best(part, leaders)[1] < near]
             while len(part):  # the first row leads all rows near it
@@ -143,7 +146,9 @@ class Cells:
             keep = np.flatnonzero(n >= 2)
             keep = np.sort(keep[np.argsort(-n[keep], kind="stable")[:max_cells]])
             sums = np.zeros((len(leaders), DIM))
-            np.add.at(sums, who[who >= 0], x[who >= 0])
+            for s in range(0, len(x), 8192):
+                w = who[s : s + 8192]
+                np.add.at(sums, w[w >= 0], x[s : s + 8192][w >= 0])
             leaders = unit(sums[keep]) if len(keep) else np.zeros((0, DIM), np.float32)
         return Cells(leaders, np.full(len(leaders), CORE, np.float32))
 
@@ -174,10 +179,10 @@ class Cells:
 
 def _best(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     who, cos = np.empty(len(x), np.int64), np.empty(len(x), np.float32)
-    for s in range(0, len(x), 2048):
-        c = x[s : s + 2048] @ centres.T
+    for s in range(0, len(x), 1024):
+        c = x[s : s + 1024] @ centres.T
         k = c.argmax(axis=1)
-        who[s : s + 2048], cos[s : s + 2048] = k, c[np.arange(len(k)), k]
+        who[s : s + 1024], cos[s : s + 1024] = k, c[np.arange(len(k)), k]
     return who, cos
 
 
@@ -189,7 +194,7 @@ def sample_rows(df: DataFrame, vector: str, by: str, rows: int = FIT_ROWS) -> np
     h = F.pmod(F.xxhash64(by), F.lit(1 << 30))
     if n > rows:
         usable = usable.where(h < int((1 << 30) * rows / n))
-    got = usable.select(vector).limit(2 * rows).toArrow()
+    got = usable.select(vector).limit(rows + rows // 8).toArrow()
     return matrix(got[vector]) if got.num_rows else np.zeros((0, DIM), np.float32)
 
 
@@ -214,3 +219,34 @@ def map_arrow(df: DataFrame, f, schema: str, rows: int = 8192) -> DataFrame:
 def column(t: pa.Table, name: str) -> np.ndarray:
     """A column without nulls as an array."""
     return t[name].combine_chunks().to_numpy(zero_copy_only=False)
+
+
+@dataclass
+class Layout:
+    """How rows are spread over tasks: parts of each cell and groups of far rows, from the fitting sample."""
+
+    cells: Cells
+    parts: np.ndarray  # parts that each cell's rows are split into
+    far_groups: int
+
+    @staticmethod
+    def plan(sample: np.ndarray, rows: int, part_rows: int, block_rows: int) -> Layout:
+        cells = Cells.fit(sample)
+        x = unit(sample) if len(sample) else sample
+        home, angle = cells.assign(x)
+        n = max(1, len(x))
+        share = np.bincount(home[home >= 0], minlength=len(cells.centres)) / n
+        far = (home < 0).sum() / n
+        return Layout(cells, np.maximum(1, np.ceil(share * rows / part_rows)).astype(np.int64), int(max(1, np.ceil(far * rows / block_rows))))
+
+
+def spread(ids: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+    """A number below n for each id, by a multiplicative hash."""
+    h = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (h >> np.uint64(33)).astype(np.int64) % n
+
+
+def block_id(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Number of the task that meets far groups i and j, below zero and the same for (j, i)."""
+    lo, hi = np.minimum(i, j).astype(np.int64), np.maximum(i, j).astype(np.int64)
+    return -(hi * (hi + 1) // 2 + lo) - 1

@@ -62,10 +62,13 @@ class AdditiveIndex:
         index = AdditiveIndex(cells, books, share)
         for _ in range(passes if len(x) else 0):
             codes = index.encode(x)[0]
-            hot = np.zeros((len(x), BOOKS * WORDS), np.float32)
-            hot[np.arange(len(x))[:, None], codes + np.arange(BOOKS) * WORDS] = 1.0
-            gram = (hot.T @ hot).astype(np.float64) + 1e-3 * np.eye(BOOKS * WORDS)
-            index.books = np.linalg.solve(gram, (hot.T @ x).astype(np.float64)).astype(np.float32).reshape(BOOKS, WORDS, DIM)
+            gram, right = 1e-3 * np.eye(BOOKS * WORDS), np.zeros((BOOKS * WORDS, DIM))
+            for s in range(0, len(x), 4096):
+                hot = np.zeros((len(x[s : s + 4096]), BOOKS * WORDS), np.float32)
+                hot[np.arange(len(hot))[:, None], codes[s : s + 4096] + np.arange(BOOKS) * WORDS] = 1.0
+                gram += hot.T @ hot
+                right += hot.T @ x[s : s + 4096]
+            index.books = np.linalg.solve(gram, right).astype(np.float32).reshape(BOOKS, WORDS, DIM)
         return index
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,8 +76,8 @@ class AdditiveIndex:
         of least error go on."""
         codes = np.zeros((len(x), BOOKS), np.uint8)
         sums = np.zeros((len(x), DIM), np.float32)
-        for s in range(0, len(x), 1024):
-            codes[s : s + 1024], sums[s : s + 1024] = self._encode(x[s : s + 1024])
+        for s in range(0, len(x), 512):
+            codes[s : s + 512], sums[s : s + 512] = self._encode(x[s : s + 512])
         return codes, sums
 
     def _encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
