@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import cutoff, leak, mix, neighbours, quality, topn
+from lumenfold.llm import cutoff, dedup, leak, mix, neighbours, quality, topn
 from lumenfold.llm import oracle as sql
 from lumenfold.registry import Registry
 from lumenfold.session import table
@@ -74,3 +74,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five most similar records of every probe, as pairs."""
     near = neighbours.probe_neighbours(table(spark, sf_dir, "images"), table(spark, sf_dir, "sim_probes"))
     return near.select(F.least("q_id", "rec_id").alias("rec_a"), F.greatest("q_id", "rec_id").alias("rec_b")).distinct()
+
+
+@LLM.add("p1_found")
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeats with the accepted records they repeat, as pairs."""
+    found = dedup.repeats(table(spark, sf_dir, "images"))
+    return found.select(F.least("q_id", "t_id").alias("rec_a"), F.greatest("q_id", "t_id").alias("rec_b")).distinct()
