@@ -56,3 +56,9 @@ P3_FOUND = f"""{_VEC}, q AS (SELECT v.* FROM v JOIN (SELECT DISTINCT rec_id FROM
 s AS (SELECT q.rec_id AS a, v.rec_id AS b, list_cosine_similarity(q.e, v.e) AS c FROM q JOIN v ON q.key <> v.key),
 r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS k FROM s)
 SELECT DISTINCT least(a, b) AS rec_a, greatest(a, b) AS rec_b FROM r WHERE k <= 5"""
+
+_GROUPS = f"""{_VEC}, e AS (SELECT a.rec_id AS a, b.rec_id AS b FROM v a JOIN v b ON a.dataset IS NOT DISTINCT FROM b.dataset
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.73 OR a.rec_id = b.rec_id),
+n AS (SELECT a, list(b ORDER BY b) AS near FROM e GROUP BY a),
+g AS (SELECT near FROM n GROUP BY near HAVING count(*) = len(near) AND count(*) >= 3)"""
+P2_FOUND = f"{_GROUPS} SELECT near[1] AS head_rec_id, unnest(near) AS rec_id FROM g"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import cutoff, dedup, leak, mix, neighbours, quality, topn
+from lumenfold.llm import clusters, cutoff, dedup, leak, mix, neighbours, quality, topn
 from lumenfold.llm import oracle as sql
 from lumenfold.registry import Registry
 from lumenfold.session import table
@@ -81,3 +81,15 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeats with the accepted records they repeat, as pairs."""
     found = dedup.repeats(table(spark, sf_dir, "images"))
     return found.select(F.least("q_id", "t_id").alias("rec_a"), F.greatest("q_id", "t_id").alias("rec_b")).distinct()
+
+
+@LLM.add("p2_found", sql.P2_FOUND)
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of every group of mutually similar records of one data set."""
+    return clusters.groups(table(spark, sf_dir, "images")).select("head_rec_id", "rec_id")
+
+
+@LLM.add("p2_clusters")
+def p2_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and most typical members of every group."""
+    return clusters.describe(clusters.groups(table(spark, sf_dir, "images")))
