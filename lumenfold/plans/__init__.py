@@ -6,7 +6,7 @@ from importlib import import_module
 
 from lumenfold.registry import CORE, Registry
 
-MODULES = ("search",)
+MODULES = ("search", "tracks")
 
 
 def load_core() -> Registry:
