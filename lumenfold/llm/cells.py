@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.session import partitions
+
 DIM = 64
 #: Rows that centres are fitted on, at most: those of smallest hash.
 FIT_ROWS = 65_536
@@ -250,3 +252,9 @@ def block_id(i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Number of the task that meets far groups i and j, below zero and the same for (j, i)."""
     lo, hi = np.minimum(i, j).astype(np.int64), np.maximum(i, j).astype(np.int64)
     return -(hi * (hi + 1) // 2 + lo) - 1
+
+
+def buckets(spark, rows: int) -> int:
+    """Groups that cell tasks are hashed into: several for each shuffle partition, so that hashing them evens out, and of about
+    10,000 rows, whatever the table's size."""
+    return max(8 * partitions(spark), -(-rows // 10_000))

@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm.cells import Layout, block_id, column, map_arrow, matrix, packed, pairs_at_least, sample_rows, spread, unit, usable_rows, vectors
-from lumenfold.session import partitions, small, stage
+from lumenfold.llm.cells import Layout, block_id, buckets, column, map_arrow, matrix, packed, pairs_at_least, sample_rows, spread, unit, usable_rows, vectors
+from lumenfold.session import small, stage
 
 TAU = 0.73
 ALPHA = float(np.arccos(TAU))
@@ -367,8 +367,7 @@ def groups(images: DataFrame, least: int = 3, set_rows: int = SET_ROWS, group_ro
     plan = Layout.plan(sample, total, group_rows, group_rows)
     plan.cells.radius = _radii(plan, sample)
     layout = spark.sparkContext.broadcast(plan)
-    n = max(partitions(spark), -(-total // 20_000))
-    placed = _place(sized, layout, set_rows, group_rows).withColumn("bucket", F.pmod(F.xxhash64("ds", "at", "part"), F.lit(n)))
+    placed = _place(sized, layout, set_rows, group_rows).withColumn("bucket", F.pmod(F.xxhash64("ds", "at", "part"), F.lit(buckets(spark, total))))
     found = stage(placed.groupBy("bucket").applyInArrow(_task, _FOUND), "groups")
     label = _components(found)
     mine = found.groupBy("ds", "rec_id").agg(F.sum("degree").alias("degree"), F.max("cos").alias("cos"))

@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm.cells import CORE, DIM, Cells, _best, column, exact_cosine, map_arrow, matrix, packed, sample_rows, unit, vectors
-from lumenfold.session import partitions, small, stage
+from lumenfold.llm.cells import CORE, DIM, Cells, _best, buckets, column, exact_cosine, map_arrow, matrix, packed, sample_rows, unit, vectors
+from lumenfold.session import small, stage
 
 #: Codebooks, codewords of each, and partial codes kept while encoding.
 BOOKS, WORDS, BEAM = 8, 64, 4
@@ -170,7 +170,6 @@ def nearest(vecs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     spark = vecs.sparkSession
     rows, keep = vecs.count(), RERANK * k
     index = spark.sparkContext.broadcast(AdditiveIndex.fit(sample_rows(vecs, "vec", "rec_id")))
-    buckets = max(partitions(spark), -(-rows // 40_000))
 
     def ask(t: pa.Table) -> pa.Table:
         ix: AdditiveIndex = index.value
@@ -208,7 +207,7 @@ def nearest(vecs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         cat = lambda p, kind: np.concatenate(p) if p else np.empty(0, kind)
         return pa.table({"q_id": cat(out_q, np.int64), "rec_id": cat(out_r, np.int64), "score": cat(out_s, np.float32)})
 
-    bucket = F.pmod(F.xxhash64("cell", "part"), F.lit(buckets)).alias("bucket")
+    bucket = F.pmod(F.xxhash64("cell", "part"), F.lit(buckets(spark, rows))).alias("bucket")
     store = encode(vecs, index, rows).withColumn("bucket", bucket)
     asked = map_arrow(queries.select("rec_id", "key", "vec"), ask, _ASKED).withColumn("bucket", bucket)
     scanned = store.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(scan, "q_id long, rec_id long, score float")
