@@ -6,7 +6,7 @@ from importlib import import_module
 
 from lumenfold.registry import CORE, Registry
 
-MODULES = ("search", "tracks")
+MODULES = ("search", "tracks", "quality")
 
 
 def load_core() -> Registry:
