@@ -148,8 +148,8 @@ def leaf_summaries(x: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def ward(n: np.ndarray, ls: np.ndarray, tau: float = TAU) -> np.ndarray:
-    """Cluster number of each leaf: Ward's merges in order of least increase, among the pairs whose union keeps a mean pairwise
-    cosine of tau at least (unit vectors: (|LS|^2 - n) / (n (n - 1)))."""
+    """Cluster number of each leaf: Ward's merges in order of least increase, among the pairs of clusters whose vectors have a
+    mean cosine of at least tau across (unit vectors: LS_i . LS_j / (n_i n_j)). A stray vector never joins a large cluster."""
     k = len(n)
     label = np.arange(k)
     if k < 2:
@@ -159,20 +159,15 @@ def ward(n: np.ndarray, ls: np.ndarray, tau: float = TAU) -> np.ndarray:
     sq = (ls * ls).sum(1)
     heap: list[tuple] = []
 
-    def cost(i: int, js: np.ndarray, prod: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        m = n[i] + n[js]
-        inside = (sq[i] + sq[js] + 2 * prod - m) / np.maximum(m * (m - 1), 1e-9)
-        d2 = sq[i] / n[i] ** 2 + sq[js] / n[js] ** 2 - 2 * prod / (n[i] * n[js])
-        return n[i] * n[js] / m * d2, inside
+    def cost(i, j, prod):
+        d2 = sq[i] / n[i] ** 2 + sq[j] / n[j] ** 2 - 2 * prod / (n[i] * n[j])
+        return n[i] * n[j] / (n[i] + n[j]) * d2
 
     for s in range(0, k, 1024):
         prod = ls[s : s + 1024] @ ls.T
-        m = n[s : s + 1024, None] + n[None, :]
-        inside = (sq[s : s + 1024, None] + sq[None, :] + 2 * prod - m) >= tau * m * (m - 1)
-        for i, j in np.argwhere(inside):
-            if s + i < j:
-                c, _ = cost(s + i, np.array([j]), prod[i, j : j + 1])
-                heap.append((float(c[0]), int(s + i), int(j), 0, 0))
+        i, j = np.nonzero(prod >= tau * n[s : s + 1024, None] * n[None, :])
+        i, j, prod = i[s + i < j] + s, j[s + i < j], prod[i[s + i < j], j[s + i < j]]
+        heap += zip(cost(i, j, prod).tolist(), i.tolist(), j.tolist(), [0] * len(i), [0] * len(i))
     heapq.heapify(heap)
     while heap:
         _, i, j, vi, vj = heapq.heappop(heap)
@@ -186,10 +181,12 @@ def ward(n: np.ndarray, ls: np.ndarray, tau: float = TAU) -> np.ndarray:
         version[i] += 1
         js = np.flatnonzero(alive)
         js = js[js != i]
-        c, inside = cost(i, js, ls[js] @ ls[i])
-        for e in np.flatnonzero(inside >= tau):
-            a, b = (i, int(js[e])) if i < js[e] else (int(js[e]), i)
-            heapq.heappush(heap, (float(c[e]), a, b, int(version[a]), int(version[b])))
+        prod = ls[js] @ ls[i]
+        near = prod >= tau * n[i] * n[js]
+        js, prod = js[near], prod[near]
+        for c, e in zip(cost(i, js, prod).tolist(), js.tolist()):
+            a, b = min(i, e), max(i, e)
+            heapq.heappush(heap, (c, a, b, int(version[a]), int(version[b])))
     return label
 
 
