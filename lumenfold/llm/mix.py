@@ -15,6 +15,8 @@ from lumenfold.session import stage
 TOKENIZER = "byte_bpe_50k.tiktoken"
 #: Sources that targets may name; they are read to the driver and refused beyond.
 MAX_SOURCES = 10_000
+#: Documents of one group that is rounded by one task.
+GROUP_ROWS = 20_000
 #: Residuals combined by one task of the reduction tree.
 FAN_IN = 64
 
@@ -124,9 +126,12 @@ def mixture(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None
     sizes = stage(token_counts(docs.where("doc_id IS NOT NULL"), tokenizer).where("n_tokens > 0 AND source IS NOT NULL"), "sizes")
     rates = plan_rates(sizes, targets, total_tokens)
     rate_of = spark.createDataFrame([(r["source"], r["rate"]) for r in rates], "source string, rate double")
+    # groups by hash of the id, in order of size: the outcome depends on the documents and the seed, not on files or retries
+    width = max(1, -(-sum(r["docs"] for r in rates) // GROUP_ROWS))
     start = sizes.join(F.broadcast(rate_of), "source").select(
-        F.col("doc_id").alias("ident"), "source", "n_tokens", F.floor("rate").cast("int").alias("base"), (F.col("rate") - F.floor("rate")).alias("p"), F.spark_partition_id().alias("at")
+        F.col("doc_id").alias("ident"), "source", "n_tokens", F.floor("rate").cast("int").alias("base"), (F.col("rate") - F.floor("rate")).alias("p"), F.pmod(F.hash("doc_id"), F.lit(width)).alias("at")
     )
+    start = start.repartition(width, "at").sortWithinPartitions("at", "source", "n_tokens", "ident")
 
     def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         carried = None
@@ -142,7 +147,6 @@ def mixture(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None
     done = stage(start.mapInPandas(first, _ROUNDED), "rounded")
     fractional = (F.col("p") > 0) & (F.col("p") < 1)
     parts, rest = [done.where(~fractional)], done.where(fractional)
-    width = max(1, start.rdd.getNumPartitions())
     while width > 1:
         width = -(-width // FAN_IN)
         level = rest.withColumn("at", F.floor(F.col("at") / FAN_IN).cast("int"))
