@@ -66,6 +66,19 @@ def test_repeats(spark, seed, monkeypatch):
     assert got == brute_repeats(rows)
 
 
+def test_history_is_reopened(spark, tmp_path):
+    rows = [r for r in table(spark, 3) if r[0] is not None]
+    df = dedup.ordered(images(spark, rows))
+    sample = np.array([r[3] for r in rows if vector(r) is not None], np.float32)
+    d = dedup.Deduplicator(spark, sample, len(rows), f"file://{tmp_path}/h")
+    got = {tuple(r) for r in d.ingest(df.where("commit_id <= 3")).collect()}
+    again = dedup.Deduplicator.reopen(spark, f"file://{tmp_path}/h", len(rows))
+    assert again.history.batches == [0]
+    got |= {tuple(r) for r in again.ingest(df.where("commit_id > 3")).collect()}
+    assert got == brute_repeats(rows)
+    assert dedup.Deduplicator.reopen(spark, f"file://{tmp_path}/h", 1).history.batches == [0, 1]
+
+
 def test_repeats_hot_group(spark):
     rng = np.random.default_rng(9)
     c = unit(rng.normal(size=64))
