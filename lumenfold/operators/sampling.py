@@ -24,7 +24,7 @@ def split(df: DataFrame, ident: str, share: float, seed: int = 0) -> DataFrame:
 
 
 def stride(df: DataFrame, order: list, n: int) -> DataFrame:
-    """About n rows evenly spaced in order: positions are counted within range partitions and offset by the counts before."""
+    """About n rows evenly spaced in order. Positions come from one window over all rows: for lists of concepts, not for records."""
     w = Window.partitionBy(F.lit(0)).orderBy(*order)
     total = df.count()
     step = max(1, total // max(1, n))

@@ -182,10 +182,10 @@ def job_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.current(table(spark, sf_dir, "jobs")).select("job_id", "dataset", "job_state", "total_n", "done_n", "failed_n")
 
 
-@CORE.add("job_list", f"WITH {JOBS} SELECT job_id, job_state, updated_at FROM cur ORDER BY updated_at DESC, job_id LIMIT 50")
+@CORE.add("job_list", f"WITH {JOBS} SELECT job_id, job_state, epoch(updated_at)::BIGINT AS updated_s FROM cur ORDER BY updated_at DESC, job_id LIMIT 50")
 def job_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latest fifty jobs (SRC14)."""
-    return jobs.current(table(spark, sf_dir, "jobs")).orderBy(F.desc("updated_at"), "job_id").limit(50).select("job_id", "job_state", "updated_at")
+    return jobs.current(table(spark, sf_dir, "jobs")).orderBy(F.desc("updated_at"), "job_id").limit(50).select("job_id", "job_state", F.unix_timestamp("updated_at").alias("updated_s"))
 
 
 @CORE.add(
@@ -215,12 +215,12 @@ def job_unmirrored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @CORE.add(
     "job_changes",
-    "WITH d AS (SELECT DISTINCT job_id, updated_at, job_state, done_n FROM jobs), l AS (SELECT *, row_number() OVER w AS r, lag(job_state) OVER w AS was FROM d WINDOW w AS (PARTITION BY job_id ORDER BY updated_at, done_n, job_state)) SELECT job_id, updated_at, job_state FROM l WHERE r = 1 OR job_state IS DISTINCT FROM was",
+    "WITH d AS (SELECT DISTINCT job_id, updated_at, job_state, done_n FROM jobs), l AS (SELECT *, row_number() OVER w AS r, lag(job_state) OVER w AS was FROM d WINDOW w AS (PARTITION BY job_id ORDER BY updated_at, done_n, job_state)) SELECT job_id, epoch(updated_at)::BIGINT AS updated_s, job_state FROM l WHERE r = 1 OR job_state IS DISTINCT FROM was",
 )
 def job_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only the records at which a job's state changed (ST4)."""
     d = table(spark, sf_dir, "jobs").select("job_id", "updated_at", "job_state", "done_n").distinct()
-    return jobs.changes(d, "job_id", ["updated_at", "done_n", "job_state"], "job_state").select("job_id", "updated_at", "job_state")
+    return jobs.changes(d, "job_id", ["updated_at", "done_n", "job_state"], "job_state").select("job_id", F.unix_timestamp("updated_at").alias("updated_s"), "job_state")
 
 
 @CORE.add(
@@ -234,14 +234,14 @@ def rolling_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @CORE.add(
     "failure_records",
-    "WITH f AS (SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value < 20) SELECT event_type, max(n) AS failed, list(event_id ORDER BY event_id) FILTER (r <= 200) AS sample FROM f GROUP BY event_type",
+    "WITH f AS (SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value < 20) SELECT event_type, max(n) AS failed, string_agg(event_id::VARCHAR, ' ' ORDER BY event_id) FILTER (r <= 200) AS sample FROM f GROUP BY event_type",
 )
 def failure_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Failures: an exact count, and the first 200 of each kind (ST8). The cut comes before rows are gathered."""
     f = table(spark, sf_dir, "events").where("value < 20").select("event_type", "event_id")
     n = f.groupBy("event_type").agg(F.count("*").alias("failed"))
     top = f.withColumn("r", F.row_number().over(Window.partitionBy("event_type").orderBy("event_id"))).where("r <= 200")
-    return n.join(top.groupBy("event_type").agg(F.sort_array(F.collect_list("event_id")).alias("sample")), "event_type").select("event_type", "failed", "sample")
+    return n.join(top.groupBy("event_type").agg(F.sort_array(F.collect_list("event_id")).alias("sample")), "event_type").select("event_type", "failed", F.array_join(F.col("sample").cast("array<string>"), " ").alias("sample"))
 
 
 @CORE.add(
@@ -310,13 +310,13 @@ def label_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @CORE.add(
     "class_sets",
-    "SELECT o_custkey AS id, list_sort(list(DISTINCT o_orderpriority) FILTER (o_orderstatus = 'F')) AS positive, list_sort(list(DISTINCT o_orderpriority) FILTER (o_orderstatus <> 'F')) AS negative FROM orders GROUP BY o_custkey",
+    "SELECT o_custkey AS id, array_to_string(list_sort(list(DISTINCT o_orderpriority) FILTER (o_orderstatus = 'F')), ',') AS positive, array_to_string(list_sort(list(DISTINCT o_orderpriority) FILTER (o_orderstatus <> 'F')), ',') AS negative FROM orders GROUP BY o_custkey",
 )
 def class_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positive and negative class sets per record (SRC22 SRC16)."""
     f = F.col("o_orderstatus") == "F"
     g = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.array_sort(F.collect_set(F.when(f, F.col("o_orderpriority")))).alias("a"), F.array_sort(F.collect_set(F.when(~f, F.col("o_orderpriority")))).alias("b"))
-    some = lambda c: F.when(F.size(c) > 0, F.col(c))
+    some = lambda c: F.when(F.size(c) > 0, F.array_join(c, ","))
     return g.select("id", some("a").alias("positive"), some("b").alias("negative"))
 
 

@@ -150,13 +150,13 @@ QS = [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 0.999, 1.0]
 
 @CORE.add(
     "score_distribution",
-    f"WITH t AS ({CLEANP}) SELECT category, list_transform(quantile_cont(p, {QS}), lambda x: round(x, 6)) AS q, round(avg(p), 6) AS mean, round(avg((p < 0.02)::INT), 6) AS low_share FROM t GROUP BY category",
+    f"WITH t AS ({CLEANP}) SELECT category, {', '.join(f'round(quantile_cont(p, {q}), 6) AS q{i}' for i, q in enumerate(QS))}, round(avg(p), 6) AS mean, round(avg((p < 0.02)::INT), 6) AS low_share FROM t GROUP BY category",
 )
 def score_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantiles, mean and saturation of stored scores."""
     arr = ", ".join(map(str, QS))
     g = _p(spark, sf_dir).groupBy("category").agg(F.expr(f"percentile(p, array({arr}))").alias("q"), F.avg("p").alias("mean"), F.avg((F.col("p") < 0.02).cast("int")).alias("low_share"))
-    return g.select("category", F.transform("q", lambda x: F.round(x, 6)).alias("q"), _r("mean"), _r("low_share"))
+    return g.select("category", *[F.round(F.col("q")[i], 6).alias(f"q{i}") for i in range(len(QS))], _r("mean"), _r("low_share"))
 
 
 @CORE.add(

@@ -156,13 +156,13 @@ def search_multi_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     "search_dedupe",
     """WITH h AS (SELECT DISTINCT lower(trim(image_id)) AS image_id, dataset, img_path, size_bytes FROM images WHERE size_bytes > 3000000),
     r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY size_bytes DESC, dataset, img_path) AS r, count(*) OVER (PARTITION BY image_id) - 1 AS collapsed FROM h)
-    SELECT image_id, any_value(dataset) FILTER (r = 1) AS dataset, coalesce(list_sort(list(DISTINCT dataset) FILTER (r > 1)), []) AS also_in, any_value(collapsed)::INT AS collapsed FROM r GROUP BY image_id""",
+    SELECT image_id, any_value(dataset) FILTER (r = 1) AS dataset, coalesce(array_to_string(list_sort(list(DISTINCT dataset) FILTER (r > 1)), ','), '') AS also_in, any_value(collapsed)::INT AS collapsed FROM r GROUP BY image_id""",
 )
 def search_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of one picture collapse on the best; the other data sets fold into also_in."""
     h = table(spark, sf_dir, "images").where("size_bytes > 3000000").select(F.lower(F.trim("image_id")).alias("image_id"), "dataset", "img_path", "size_bytes").distinct()
     one = op.collapse(h, "image_id", [F.desc("size_bytes"), F.asc("dataset"), F.asc("img_path")], "dataset")
-    return one.select("image_id", "dataset", "also_in", "collapsed")
+    return one.select("image_id", "dataset", F.array_join("also_in", ",").alias("also_in"), "collapsed")
 
 
 @CORE.add(

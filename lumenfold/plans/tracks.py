@@ -200,11 +200,11 @@ def track_browse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @CORE.add(
     "image_flags",
-    f"""WITH {CLEAN} SELECT dataset, image_id, list(category || ':' || tier ORDER BY {RANK.format("tier")}, coalesce(p, 0) DESC, category) AS flags FROM tr WHERE tier IN ('alert', 'violation', 'review', 'match') GROUP BY dataset, image_id""",
+    f"""WITH {CLEAN} SELECT dataset, image_id, string_agg(category || ':' || tier, ' ' ORDER BY {RANK.format("tier")}, coalesce(p, 0) DESC, category) AS flags FROM tr WHERE tier IN ('alert', 'violation', 'review', 'match') GROUP BY dataset, image_id""",
 )
 def image_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fired flags of each picture in order of severity."""
-    return op.image_flags(op.clean_tracks(table(spark, sf_dir, "tracks")), ["alert", "violation", "review", "match"])
+    return op.image_flags(op.clean_tracks(table(spark, sf_dir, "tracks")), ["alert", "violation", "review", "match"]).withColumn("flags", F.array_join("flags", " "))
 
 
 @CORE.add(
@@ -343,11 +343,11 @@ def softmax_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @CORE.add(
     "track_headers",
-    f"WITH {CLEAN} SELECT category, count(*) AS n_rows, count(p) AS scored, count(DISTINCT model_id) AS models, list_sort(list(DISTINCT tier) FILTER (tier IS NOT NULL)) AS tiers FROM tr GROUP BY category",
+    f"WITH {CLEAN} SELECT category, count(*) AS n_rows, count(p) AS scored, count(DISTINCT model_id) AS models, array_to_string(list_sort(list(DISTINCT tier) FILTER (tier IS NOT NULL)), ' ') AS tiers FROM tr GROUP BY category",
 )
 def track_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headers rebuilt from the stored rows (SNK8 SNK9 D6)."""
-    return op.clean_tracks(table(spark, sf_dir, "tracks")).groupBy("category").agg(F.count("*").alias("n_rows"), F.count("p").alias("scored"), F.count_distinct("model_id").alias("models"), F.array_sort(F.collect_set("tier")).alias("tiers"))
+    return op.clean_tracks(table(spark, sf_dir, "tracks")).groupBy("category").agg(F.count("*").alias("n_rows"), F.count("p").alias("scored"), F.count_distinct("model_id").alias("models"), F.array_join(F.array_sort(F.collect_set("tier")), " ").alias("tiers"))
 
 
 @CORE.add(
