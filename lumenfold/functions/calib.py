@@ -109,3 +109,18 @@ def softmax(x: Column) -> Column:
     """Softmax of an array, shifted by its maximum."""
     e = F.transform(x, lambda v: F.exp(v - F.array_max(x)))
     return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda s, w: s + w))
+
+
+def policy(config: dict | None, tau: float, tau_review: float) -> dict[str, float]:
+    """Thresholds of a configuration, clamped: values that are not numbers within 0..1 fall back to the defaults, and a review
+    threshold that is not below the violation threshold becomes half of it. Unknown keys are an error."""
+    config = dict(config or {})
+    if unknown := set(config) - {"tau", "tau_review"}:
+        raise ValueError(f"unknown policy keys: {', '.join(sorted(unknown))}")
+
+    def number(key: str, default: float) -> float:
+        v = config.get(key, default)
+        return float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) and 0.0 <= v <= 1.0 else default
+
+    t, r = number("tau", tau), number("tau_review", tau_review)
+    return {"tau": t, "tau_review": r if r < t else t * 0.5}

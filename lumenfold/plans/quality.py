@@ -372,3 +372,45 @@ def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = op.average_precision(_curve(spark, sf_dir), ["tag"]).withColumn("eligible", F.col("pos") >= 40)
     w = Window.partitionBy(F.lit(0)).orderBy(F.desc("eligible"), F.desc(F.round("ap", 9)), "tag")
     return a.select("tag", "eligible", _r("ap"), F.row_number().over(w).alias("place"))
+
+
+@CORE.add(
+    "tau_grid",
+    f"""WITH {SCORED}, v AS (SELECT round(0.3 + i / 100, 2) AS tau FROM range(0, 69) t(i)), a AS (SELECT tag, tau, avg(((p >= tau) = (y = 1))::INT) AS acc FROM sc, v GROUP BY tag, tau), o AS (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY round(acc, 9) DESC, tau) AS k FROM a)
+    SELECT tag, tau, round(acc, 6) AS acc FROM o WHERE k = 1""",
+)
+def tau_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Threshold of best accuracy on a fixed grid, the lowest on ties (C24). The grid is applied map-side."""
+    grid = F.explode(F.array(*[F.lit(round(0.3 + i / 100, 2)) for i in range(69)])).alias("tau")
+    a = _scored(spark, sf_dir).select("tag", "p", "y", grid).groupBy("tag", "tau").agg(F.avg(((F.col("p") >= F.col("tau")) == (F.col("y") == 1)).cast("int")).alias("acc"))
+    best = a.groupBy("tag").agg(F.max(F.struct(F.round("acc", 9).alias("acc"), (-F.col("tau")).alias("t"))).alias("b"))
+    return best.select("tag", (-F.col("b.t")).alias("tau"), F.round("b.acc", 6).alias("acc"))
+
+
+@CORE.add(
+    "prompt_ab",
+    f"""WITH {CENTROIDS}, s AS (SELECT u.id, (u.label = 0)::INT AS y, c.idx, list_dot_product(u.e, c.c) AS v FROM u, c WHERE c.idx < 5), b AS (SELECT id, v AS base FROM s WHERE idx = 0),
+    x AS (SELECT s.idx AS cand, y, (greatest(base, v) + 1) / 2 AS p FROM s JOIN b USING (id)), d AS (SELECT cand, p, sum(y) AS a, count(*) - sum(y) AS n FROM x GROUP BY cand, p),
+    r AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY cand ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM d), q AS (SELECT cand, sum(a * (below + 0.5 * n)) / (sum(a) * sum(n)) AS auroc FROM r GROUP BY cand),
+    f AS (SELECT cand, quantile_cont(p, 0.99) AS p99 FROM x WHERE y = 0 GROUP BY cand), z AS (SELECT auroc AS a0, p99 AS f0 FROM q JOIN f USING (cand) WHERE cand = 0)
+    SELECT cand, round(auroc - a0, 6) AS d_auroc, round(p99 - f0, 6) AS d_fp99, auroc - a0 >= -0.0005 AND p99 - f0 <= 0.001 AS promote FROM q JOIN f USING (cand), z WHERE cand > 0""",
+)
+def prompt_ab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each candidate concept added to the bank alone: change of AUROC and of the negatives' 99th percentile."""
+    it = items(spark, sf_dir)
+    s = score_tags(it, tag_vectors(it).where("idx < 5")).join(it.select("id", "label"), "id")
+    wide = s.groupBy("id", "label").agg(F.max(F.when(F.col("idx") == 0, F.col("cos"))).alias("base"), F.collect_list(F.struct("idx", "cos")).alias("c"))
+    x = wide.select((F.col("label") == 0).cast("int").alias("y"), "base", F.explode("c").alias("c")).select(F.col("c.idx").alias("cand"), "y", ((F.greatest("base", "c.cos") + 1) / 2).alias("p"))
+    f = x.where("y = 0").groupBy("cand").agg(F.expr("percentile(p, 0.99)").alias("p99"))
+    j = op.auroc(x, ["cand"]).join(f, "cand")
+    z = j.where("cand = 0").select(F.col("auroc").alias("a0"), F.col("p99").alias("f0"))
+    d = j.where("cand > 0").crossJoin(F.broadcast(z)).withColumn("da", F.col("auroc") - F.col("a0")).withColumn("df", F.col("p99") - F.col("f0"))
+    return d.select("cand", F.round("da", 6).alias("d_auroc"), F.round("df", 6).alias("d_fp99"), ((F.col("da") >= -0.0005) & (F.col("df") <= 0.001)).alias("promote"))
+
+
+@CORE.add("pose_angles", f"WITH {U} SELECT id, round(degrees(atan2(abs(e[2]), abs(e[1]))), 4) AS angle, degrees(atan2(abs(e[2]), abs(e[1]))) < 35 AS lying FROM u WHERE e[1] <> 0 OR e[2] <> 0")
+def pose_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Angle of a vector to the horizontal."""
+    it = items(spark, sf_dir).where(F.expr("e[0] <> 0 OR e[1] <> 0"))
+    a = F.degrees(F.atan2(F.abs(F.col("e")[1]), F.abs(F.col("e")[0])))
+    return it.select("id", F.round(a, 4).alias("angle"), (a < 35).alias("lying"))

@@ -100,3 +100,10 @@ def test_fits():
     assert (((x @ w + bias) > 0) == (x[:, 0] > 0)).mean() > 0.95
     boxes = np.array([[0, 0, 10, 10], [1, 1, 11, 11], [20, 20, 30, 30]], float)
     assert fits.suppress(boxes, np.array([0.5, 0.9, 0.1]), 0.4) == [1, 2]
+
+
+def test_policy():
+    assert cal.policy({"tau": 2, "tau_review": "x"}, 0.8, 0.5) == {"tau": 0.8, "tau_review": 0.5}
+    assert cal.policy({"tau": 0.4}, 0.8, 0.5) == {"tau": 0.4, "tau_review": 0.2}
+    with pytest.raises(ValueError):
+        cal.policy({"taus": 1}, 0.8, 0.5)
