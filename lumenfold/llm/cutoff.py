@@ -9,10 +9,12 @@ from lumenfold.session import small, stage
 
 #: KLL parameter; the normalised rank error of a two-sided query is about 2.3 / k**0.9, under 0.4 % here.
 SKETCH_K = 1200
-#: First half-width of the bracket around the target rank, as a fraction of the rows still in question.
+#: Half-width of the first bracket around the target rank, as a fraction of a source's rows.
 SLACK = 0.01
 #: Steps of the grid of ranks that a sketch is asked for.
 GRID = 500
+#: Grid points that are searched at once when a score is placed between them.
+STEP = 22
 #: A bracket of at most so many distinct scores is ranked exactly.
 BRACKET_SCORES = 5_000
 
@@ -24,11 +26,13 @@ def cutoffs(rows: DataFrame, targets: DataFrame) -> DataFrame:
     keep_pm, n_rows, cutoff, n_kept, n_ties (rows at the cutoff). A target of 0 or less keeps the highest score and its
     ties; one over 1000, or a source without rows, gives a null cutoff and keeps nothing.
 
-    Sketches (mergeable, combined map-side) of the scores still in question bracket the wanted rank; a counting pass proves
-    the bracket (a sketch may err: then the old bracket stays and the next one is wider), and only a bracket of few distinct
-    scores is ranked in a window. Every pass narrows a bracket about fiftyfold, whatever the source's size.
+    A sketch (mergeable, combined map-side) of all rows of a source, ties included, brackets the wanted rank; a counting pass
+    proves the bracket (a sketch may err: then the old bracket stays). A bracket that still holds many distinct scores is split
+    at quantiles of its distinct scores, all splits are counted, and the one that holds the wanted rank goes on: that holds
+    whatever the ties and the sketch's error. Only a bracket of few distinct scores is ranked in a window.
     """
-    rows = stage(rows.where("score IS NOT NULL AND NOT isnan(score)").groupBy("source", "score").agg(F.count("*").alias("n")), "scores")
+    scored = rows.where("score IS NOT NULL AND NOT isnan(score)").select("source", "score")
+    rows = stage(scored.groupBy("source", "score").agg(F.count("*").alias("n")), "scores")
     totals = rows.groupBy("source").agg(F.sum("n").alias("n_rows"), F.max("score").alias("hi"), F.min("score").alias("lo"), F.count("*").alias("d"))
     state = stage(
         targets.where("keep_pm IS NOT NULL")
@@ -39,11 +43,9 @@ def cutoffs(rows: DataFrame, targets: DataFrame) -> DataFrame:
         .withColumn("inside", F.col("n_rows")),  # rows in lo..hi
         "cut-state",
     )
-    slack = SLACK  # every source is sketched once, the large ones until their bracket is small
-    state = stage(_narrow(rows, state, slack, 0), "cut-state")
+    state = stage(_bracket(scored, rows, state), "cut-state")  # every source is sketched once, the large ones are split on
     while (state.agg(F.max("d")).first()[0] or 0) > BRACKET_SCORES:
-        slack = min(0.5, slack * 2)
-        state = stage(_narrow(rows, state, slack, BRACKET_SCORES), "cut-state")
+        state = stage(_split(rows, state), "cut-state")
     inside = rows.join(small(state), "source").where("score BETWEEN lo AND hi")
     run = Window.partitionBy("source", "band").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     reached = inside.withColumn("kept", F.col("above") + F.sum("n").over(run)).where("kept >= need")
@@ -55,23 +57,23 @@ def cutoffs(rows: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def _narrow(rows: DataFrame, state: DataFrame, slack: float, over: int) -> DataFrame:
-    """One sketch pass and one counting pass over the rows in each bracket of more than `over` distinct scores."""
-    wide = state.where(F.col("d") > over)
-    inside = rows.join(small(wide), "source").where("score BETWEEN lo AND hi")
-    # distinct scores are sketched, weighted rows are counted: ties cannot make the bracket miss, only less narrow
-    each = F.explode(F.array_repeat("score", F.least(F.col("n"), F.lit(64)).cast("int")))
-    sketch = inside.select("source", "band", each.alias("score")).groupBy("source", "band").agg(F.kll_sketch_agg_double("score", F.lit(SKETCH_K)).alias("sk"))
-    # rank from below of the wanted row, as a fraction of the rows inside
-    at = 1 - (F.col("need") - F.col("above")) / F.col("inside")
-    # the ranks asked of a sketch must be constant: it gives its quantiles on a grid, and each bracket takes its two
+def _grid(sketch: DataFrame) -> DataFrame:
+    """The sketch's quantiles on a grid, as q: the ranks asked of a sketch must be constant."""
     grid = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
-    low = F.greatest(F.lit(0), F.floor((at - slack) * GRID)).cast("int") + 1
-    high = F.least(F.lit(GRID), F.ceil((at + slack) * GRID)).cast("int") + 1
-    quantiles = sketch.withColumn("q", F.kll_sketch_get_quantile_double("sk", grid)).drop("sk")
-    bounds = quantiles.join(wide, ["source", "band"]).select("source", "band", F.element_at("q", low).alias("new_lo"), F.element_at("q", high).alias("new_hi"))
+    return sketch.withColumn("q", F.kll_sketch_get_quantile_double("sk", grid)).drop("sk")
+
+
+def _bracket(scored: DataFrame, rows: DataFrame, state: DataFrame) -> DataFrame:
+    """One sketch pass over the rows themselves, so that ranks are ranks of rows, and one counting pass."""
+    mine = small(state.select("source").distinct())
+    sketch = scored.join(mine, "source").groupBy("source").agg(F.kll_sketch_agg_double("score", F.lit(SKETCH_K)).alias("sk"))
+    # rank from below of the wanted row, as a fraction of the rows
+    at = 1 - F.col("need") / F.col("inside")
+    low = F.greatest(F.lit(0), F.floor((at - SLACK) * GRID)).cast("int") + 1
+    high = F.least(F.lit(GRID), F.ceil((at + SLACK) * GRID)).cast("int") + 1
+    bounds = _grid(sketch).join(state, "source").select("source", "band", F.element_at("q", low).alias("new_lo"), F.element_at("q", high).alias("new_hi"))
     counted = (
-        inside.join(small(bounds), ["source", "band"])
+        rows.join(small(bounds), "source")
         .groupBy("source", "band", "new_lo", "new_hi")
         .agg(
             F.sum(F.when(F.col("score") > F.col("new_hi"), F.col("n")).otherwise(0)).alias("over"),
@@ -79,13 +81,34 @@ def _narrow(rows: DataFrame, state: DataFrame, slack: float, over: int) -> DataF
             F.sum(F.when(F.col("score").between(F.col("new_lo"), F.col("new_hi")), 1).otherwise(0)).alias("new_d"),
         )
     )
-    good = F.col("new_lo").isNotNull() & (F.col("above") + F.col("over") < F.col("need")) & (F.col("above") + F.col("over") + F.col("within") >= F.col("need"))
+    good = F.col("new_lo").isNotNull() & (F.col("over") < F.col("need")) & (F.col("over") + F.col("within") >= F.col("need"))
     pick = lambda new, old: F.when(good, new).otherwise(F.col(old)).alias(old)
     joined = state.join(counted, ["source", "band"], "left")
-    new = {"lo": F.col("new_lo"), "hi": F.col("new_hi"), "above": F.col("above") + F.col("over"), "inside": F.col("within"), "d": F.col("new_d")}
+    new = {"lo": F.col("new_lo"), "hi": F.col("new_hi"), "above": F.col("over"), "inside": F.col("within"), "d": F.col("new_d")}
     return joined.select(*[pick(new[c], c) if c in new else F.col(c) for c in state.columns])
 
 
+def _split(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """Splits each bracket of more than BRACKET_SCORES distinct scores at quantiles of these, each score once, and keeps the part
+    with the wanted row. The parts cover the bracket and are counted exactly. The grid has the highest score, which is parted
+    from the lowest, so every pass narrows the bracket; a part has about 1 / GRID of the distinct scores."""
+    wide = state.where(F.col("d") > BRACKET_SCORES)
+    inside = rows.join(small(wide), "source").where("score BETWEEN lo AND hi").select("source", "band", "score", "n", "need", "above")
+    sketch = inside.groupBy("source", "band").agg(F.kll_sketch_agg_double("score", F.lit(SKETCH_K)).alias("sk"))
+    points = _grid(sketch).withColumn("q", F.array_sort(F.array_distinct("q")))
+    points = small(stage(points.withColumn("coarse", F.filter("q", lambda x, i: i % STEP == 0)), "cut-points"))
+    upto = lambda a: F.size(F.filter(a, lambda x: x <= F.col("score")))
+    placed = inside.join(points, ["source", "band"]).withColumn("c", F.greatest(F.lit(1), upto("coarse")))
+    placed = placed.withColumn("at", (F.col("c") - 1) * STEP + upto(F.slice("q", (F.col("c") - 1) * STEP + 1, F.lit(STEP))))
+    parts = placed.groupBy("source", "band", "need", "above", "at").agg(F.sum("n").alias("within"), F.count("*").alias("new_d"), F.min("score").alias("new_lo"), F.max("score").alias("new_hi"))
+    run = Window.partitionBy("source", "band").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, 0)
+    reached = parts.withColumn("upto", F.col("above") + F.sum("within").over(run)).where("upto >= need AND upto - within < need")
+    new = reached.select("source", "band", "new_lo", "new_hi", (F.col("upto") - F.col("within")).alias("over"), "within", "new_d")
+    joined = state.join(new, ["source", "band"], "left")
+    names = {"lo": "new_lo", "hi": "new_hi", "above": "over", "inside": "within", "d": "new_d"}
+    return joined.select(*[F.coalesce(names[c], c).alias(c) if c in names else F.col(c) for c in state.columns])
+
+
 def weapons_rows(tracks: DataFrame, usable: DataFrame | None = None) -> DataFrame:
     """Usable rows of category weapons, any tier: (source, track_id, score)."""
     from lumenfold.llm.topn import usable_tracks

@@ -51,3 +51,24 @@ def test_weapons_rows_and_heads(spark):
     report, kept = cutoff.weapons_cutoffs(t, h)
     assert [(r.band, r.track_id) for r in kept.collect()] == [("review", 1)]
     assert {(r["source"], r.band): r.n_rows for r in report.collect()} == {("d", "review"): 2, ("z", "review"): 0, ("z", "violation"): 0}
+
+
+def test_cutoffs_end_under_heavy_ties(spark, monkeypatch):
+    monkeypatch.setattr(cutoff, "BRACKET_SCORES", 20)
+    passes, stage = [], cutoff.stage
+
+    def counted(df, name):
+        passes.append(name)
+        assert len(passes) < 16, "brackets do not narrow"
+        return stage(df, name)
+
+    monkeypatch.setattr(cutoff, "stage", counted)
+    n, ties = 5_000, 50_000
+    rows = spark.range(n + ties).select(F.lit("s").alias("source"), F.when(F.col("id") < ties, 0.0).otherwise((F.col("id") - ties + 1) / n).alias("score"))
+    keep = [1, 45, 88, 90, 91, 1000]  # 88 in the thick of the scores, 90 beside the ties, from 91 on the ties
+    targets = spark.createDataFrame([("s", str(k), k) for k in keep], "source string, band string, keep_pm int")
+    got = {r["keep_pm"]: r for r in cutoff.cutoffs(rows, targets).collect()}
+    for k in keep:
+        need = -(-(n + ties) * k // 1000)
+        want = (0.0, n + ties, ties) if need > n else ((n - need + 1) / n, need, 1)
+        assert (got[k]["cutoff"], got[k]["n_kept"], got[k]["n_ties"]) == want
