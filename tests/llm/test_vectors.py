@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lumenfold.llm import cells, clusters, dedup, neighbours
 
@@ -89,6 +90,35 @@ def test_repeats_hot_group(spark):
     assert dedup.repeats(images(spark, [])).count() == 0
 
 
+def arc(seed, degrees):
+    """Unit vectors on one great circle."""
+    a, b = np.linalg.qr(np.random.default_rng(seed).normal(size=(64, 2)))[0].T
+    return [[float(e) for e in np.cos(g) * a + np.sin(g) * b] for g in np.deg2rad(degrees)]
+
+
+def ingested(spark, rows, centre, parts):
+    """Pairs of one ingest a commit, over one cell in several parts."""
+    d = dedup.Deduplicator(spark, np.zeros((0, 64), np.float32), len(rows))
+    layout = cells.Layout(cells.Cells(np.array([centre], np.float32), np.full(1, cells.CORE, np.float32)), np.array([parts]), 1)
+    d._open(d.history.path, layout, [], len(rows))
+    df = dedup.ordered(images(spark, rows))
+    return {tuple(r) for c in sorted({r[4] for r in rows}) for r in d.ingest(df.where(F.col("commit_id") == c)).collect()}
+
+
+def test_split_cell_over_two_ingests(spark):
+    # history at 0; rows at 10 repeat it, the one at 20 does not, rows at 12 repeat both (the cut is at 14.07 degrees)
+    v = arc(5, [0] + [10] * 30 + [20] + [12] * 30)
+    rows = [(i, "d", f"k{i}", e, 1 + (i > 0), 0) for i, e in enumerate(v)]
+    assert ingested(spark, rows, v[0], 7) == brute_repeats(rows)
+
+
+@pytest.mark.parametrize("degrees", [[20] + [30] * 20 + [36] * 20 + [44] * 3, [44] + [34] * 20 + [26] + [24] * 20])
+def test_far_rows_meet_a_split_cell(spark, degrees):
+    # beyond 40 degrees rows are far: they ask for a row that a rejected one hides in its part, or reject the one that hides
+    rows = [(i, "d", f"k{i}", e, 1, 0) for i, e in enumerate(arc(6, degrees))]
+    assert ingested(spark, rows, arc(6, [0])[0], 4) == brute_repeats(rows)
+
+
 def brute_groups(rows, least=3):
     out = set()
     for d in {r[1] for r in rows}:
