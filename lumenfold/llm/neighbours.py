@@ -1,7 +1,9 @@
-"""Most similar vectors: additive quantisation in inverted-file cells, lookup-table scores, exact reranking."""
+"""Most similar vectors: additive quantisation in inverted-file cells, lookup-table scores, exact reranking; then every cell that
+the bounds leave open is compared exactly."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm.cells import CORE, DIM, Cells, _best, buckets, column, exact_cosine, map_arrow, matrix, packed, sample_rows, unit, vectors
+from lumenfold.llm.cells import CORE, DIM, SLACK, Cells, _best, buckets, column, exact_cosine, map_arrow, matrix, packed, sample_rows, unit, vectors
 from lumenfold.session import small, stage
 
 #: Codebooks, codewords of each, and partial codes kept while encoding.
@@ -127,6 +129,12 @@ class AdditiveIndex:
             c.append(order[r, k])
         return (np.concatenate(i), np.concatenate(c)) if i else (np.empty(0, np.int64), np.empty(0, np.int64))
 
+    def open_cells(self, q: np.ndarray, angle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, cell): every cell that may hold a row within `angle` of its query. Such a row is at most nearest + angle from
+        the query's nearest centre, so its own nearest centre is no farther from it, and at most nearest + 2 angle from the query."""
+        away = np.arccos(np.clip(q @ self.cells.centres.T, -1, 1))
+        return np.nonzero(away <= (away.min(axis=1) + 2 * angle + SLACK)[:, None])
+
     def salts(self, rows: float) -> np.ndarray:
         """Parts that each cell is split into."""
         return np.maximum(1, np.ceil(self.share * rows / CELL_ROWS)).astype(np.int64)
@@ -164,8 +172,9 @@ def nearest(vecs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(q_id, rec_id, cosine, rank): for every query the k rows of highest cosine with another key.
 
     vecs: (rec_id, key, vec), staged; queries: the same columns. key is a hash of the picture's identity; rows of the query's
-    own key, and the query itself, are left out. Approximate in which rows reach the exact reranking: codes are scored by
-    tables in the visited cells, RERANK * k candidates a query are reranked in double precision. Ties go to the smaller rec_id.
+    own key, and the query itself, are left out. Codes are scored by tables in the visited cells and RERANK * k candidates a
+    query are reranked in double precision; the k-th cosine found bounds the cells that may hold better rows (all of them for
+    most queries that resemble no centre), and these are compared exactly. Ties go to the smaller rec_id.
     """
     spark = vecs.sparkSession
     rows, keep = vecs.count(), RERANK * k
@@ -221,7 +230,62 @@ def nearest(vecs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     pairs = vecs.select("rec_id", "vec").join(small(candidates, 1_000_000), "rec_id").join(theirs, "q_id")
     exact = map_arrow(pairs, rerank, "q_id long, rec_id long, cosine double")
     final = Window.partitionBy("q_id").orderBy(F.desc("cosine"), "rec_id")
-    return exact.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k)
+    first = stage(exact.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).drop("rank"), "first")
+
+    def ask_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ix: AdditiveIndex = index.value
+        for b in batches:
+            for s in range(0, b.num_rows, 32):  # a query may ask for all cells
+                t = pa.Table.from_batches([b.slice(s, 32)])
+                raw, kth = matrix(t["vec"]), column(t, "kth")
+                i, c = ix.open_cells(unit(raw), np.arccos(np.clip(kth, -1, 1)))
+                n = ix.salts(rows)[c]
+                at = np.repeat(np.arange(len(i)), n)
+                part = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+                i, c = i[at], c[at]
+                cols = {"q_id": column(t, "rec_id")[i], "q_key": column(t, "key")[i], "kth": kth[i], "cell": c.astype(np.int32), "part": part.astype(np.int32), "vec": packed(raw[i])}
+                yield from pa.table(cols).to_batches()
+
+    def place(t: pa.Table) -> pa.Table:
+        ix: AdditiveIndex = index.value
+        cell, _ = _best(unit(matrix(t["vec"])), ix.cells.centres)
+        part = _mix(column(t, "rec_id")) % ix.salts(rows)[cell]
+        return pa.table({"rec_id": t["rec_id"], "key": t["key"], "cell": cell.astype(np.int32), "part": part.astype(np.int32), "vec": t["vec"]})
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        out_q, out_r, out_c = [], [], []
+        if left.num_rows and right.num_rows:
+            where, asked = [column(t, "cell").astype(np.int64) * (1 << 20) + column(t, "part") for t in (left, right)]
+            lo, ro = np.argsort(where, kind="stable"), np.argsort(asked, kind="stable")
+            lw, rw = where[lo], asked[ro]
+            raw, rec, key = matrix(left["vec"])[lo], column(left, "rec_id")[lo], column(left, "key")[lo]
+            q, qid, qkey, kth = matrix(right["vec"])[ro], column(right, "q_id")[ro], column(right, "q_key")[ro], column(right, "kth")[ro]
+            x, y = unit(raw), unit(q)
+            for v in np.unique(rw):
+                a, b = np.searchsorted(lw, [v, v + 1])
+                c, d = np.searchsorted(rw, [v, v + 1])
+                for e in range(c, d if b > a else c, 256):
+                    g = slice(e, min(e + 256, d))
+                    near = y[g] @ x[a:b].T >= (kth[g] - 1e-5)[:, None]
+                    near &= (qkey[g, None] != key[None, a:b]) & (qid[g, None] != rec[None, a:b])
+                    i, j = np.nonzero(near)
+                    i, j = i + e, j + a
+                    cos = np.concatenate([exact_cosine(q[i[h : h + 65536]], raw[j[h : h + 65536]]) for h in range(0, len(i), 65536)] or [np.empty(0)])
+                    o = np.lexsort((rec[j], -cos, i))
+                    o = o[np.arange(len(o)) - np.searchsorted(i[o], i[o]) < k]  # the best k of a query
+                    out_q.append(qid[i[o]])
+                    out_r.append(rec[j[o]])
+                    out_c.append(cos[o])
+        cat = lambda p, kind: np.concatenate(p) if p else np.empty(0, kind)
+        return pa.table({"q_id": cat(out_q, np.int64), "rec_id": cat(out_r, np.int64), "cosine": cat(out_c, float)})
+
+    kth = first.groupBy(F.col("q_id").alias("rec_id")).agg(F.when(F.count("*") >= k, F.min("cosine")).alias("kth"))
+    bounded = queries.select("rec_id", "key", "vec").join(small(kth), "rec_id", "left").withColumn("kth", F.coalesce("kth", F.lit(-1.0)))
+    still = bounded.mapInArrow(ask_open, "q_id long, q_key long, kth double, cell int, part int, vec binary").withColumn("bucket", bucket)
+    placed = map_arrow(vecs.select("rec_id", "key", "vec"), place, "rec_id long, key long, cell int, part int, vec binary").withColumn("bucket", bucket)
+    rest = placed.groupBy("bucket").cogroup(still.groupBy("bucket")).applyInArrow(compare, "q_id long, rec_id long, cosine double")
+    both = first.unionByName(rest).groupBy("q_id", "rec_id").agg(F.max("cosine").alias("cosine"))
+    return both.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k)
 
 
 def image_vectors(images: DataFrame) -> DataFrame:

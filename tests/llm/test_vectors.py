@@ -186,3 +186,17 @@ def test_neighbours_recall(spark):
         assert all(key[i] != key[q] for i in found)
     assert hit / total >= 0.9
     assert neighbours.probe_neighbours(images(spark, []), probes, 5).count() == 0
+
+
+def test_neighbours_of_far_rows(spark):
+    rng = np.random.default_rng(12)
+    x = np.concatenate([unit(unit(rng.normal(size=64)) + 0.04 * rng.normal(size=(40, 64))) for _ in range(40)] + [unit(rng.normal(size=(1400, 64)))])
+    rows = [(i, "d", f"k{i}", [float(e) for e in v], 1, 0) for i, v in enumerate(x)]
+    asked = list(range(0, len(x), 20))  # rows of groups, and from 1,600 on rows that resemble no other
+    probes = spark.createDataFrame([(i, i) for i in asked], "probe_id long, rec_id long")
+    got = {}
+    for r in neighbours.probe_neighbours(images(spark, rows), probes, 5).collect():
+        got.setdefault(r.q_id, set()).add(r.rec_id)
+    v = unit(x.astype(np.float32).astype(float))
+    for q in asked:
+        assert got[q] == set([i for i in np.argsort(-(v @ v[q]), kind="stable").tolist() if i != q][:5]), q
