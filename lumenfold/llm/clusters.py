@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.llm.cells import Layout, block_id, buckets, column, map_arrow, matrix, packed, pairs_at_least, sample_rows, spread, unit, usable_rows, vectors
-from lumenfold.session import small, stage
+from lumenfold.session import partitions, small, stage
 
 TAU = 0.73
 ALPHA = float(np.arccos(TAU))
@@ -279,7 +279,7 @@ def local_groups(x: np.ndarray, raw: np.ndarray, side: np.ndarray) -> tuple[np.n
 
 
 _ROWS = "ds long, rec_id long, at long, part int, side int, vec binary"
-_FOUND = "ds long, rec_id long, comp string, degree double, cos float, size long"
+_FOUND = "ds long, rec_id long, comp string, degree double, size long"
 
 
 def _place(rows: DataFrame, layout, set_rows: int, group_rows: int) -> DataFrame:
@@ -324,11 +324,11 @@ def _task(t: pa.Table) -> pa.Table:
     x = unit(raw)
     order = np.lexsort((rec, part, at, ds))
     change = np.flatnonzero((np.diff(ds[order]) != 0) | (np.diff(at[order]) != 0) | (np.diff(part[order]) != 0)) + 1
-    cols: list[list] = [[] for _ in range(6)]
+    cols: list[list] = [[] for _ in range(5)]
     for g in np.split(order, change):
         if len(g) < 2:
             continue
-        root, degree, cos = local_groups(x[g], raw[g], side[g])
+        root, degree, _ = local_groups(x[g], raw[g], side[g])
         hit = np.flatnonzero(degree > 0)
         if not len(hit):
             continue
@@ -336,17 +336,49 @@ def _task(t: pa.Table) -> pa.Table:
         head = np.full(root.max() + 1, np.iinfo(np.int64).max)
         np.minimum.at(head, root[hit], rec[g][hit])
         names = [f"{at[g[0]]}/{part[g[0]]}/{h}" for h in head[root[hit]].tolist()]
-        for c, v in zip(cols, (ds[g][hit], rec[g][hit], names, degree[hit], cos[hit], size[root[hit]])):
+        for c, v in zip(cols, (ds[g][hit], rec[g][hit], names, degree[hit], size[root[hit]])):
             c.append(v)
     cat = lambda p, kind: np.concatenate(p) if p else np.empty(0, kind)
     names = [n for p in cols[2] for n in p]
     return pa.table(
-        {"ds": cat(cols[0], np.int64), "rec_id": cat(cols[1], np.int64), "comp": pa.array(names, pa.string()), "degree": cat(cols[3], float), "cos": cat(cols[4], np.float32), "size": cat(cols[5], np.int64)}
+        {"ds": cat(cols[0], np.int64), "rec_id": cat(cols[1], np.int64), "comp": pa.array(names, pa.string()), "degree": cat(cols[3], float), "size": cat(cols[4], np.int64)}
     )
 
 
 def groups(images: DataFrame, least: int = 3, set_rows: int = SET_ROWS, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(head_rec_id, rec_id, size, cos): members of every group of at least `least` records of one data set of which any two have
+    """`members` with cos, each one's cosine to its group's centre, the sum of the unit vectors of all members."""
+    of = F.coalesce(F.xxhash64("dataset"), F.lit(0).cast("long")).alias("ds")
+    vecs = vectors(images.where("rec_id IS NOT NULL").select(of, "rec_id", "emb"), ["ds", "rec_id"]).where("vec IS NOT NULL")
+    rows = stage(vecs.join(members(images, least, set_rows, group_rows), ["ds", "rec_id"]).dropDuplicates(["ds", "rec_id"]), "group-vectors")
+
+    def unit_rows(t: pa.Table) -> np.ndarray:
+        raw = matrix(t["vec"]).astype(np.float64)
+        raw /= np.abs(raw).max(axis=1, keepdims=True)
+        return raw / np.linalg.norm(raw, axis=1, keepdims=True)
+
+    def add(ds: np.ndarray, head: np.ndarray, x: np.ndarray) -> pa.Table:
+        keys, at = np.unique(np.stack([ds, head], axis=1), axis=0, return_inverse=True)
+        total = np.zeros((len(keys), x.shape[1]))
+        np.add.at(total, at.ravel(), x)
+        return pa.table({"ds": keys[:, 0], "head_rec_id": keys[:, 1], "total": pa.array([r.tobytes() for r in total], pa.binary())})
+
+    def doubles(t: pa.Table) -> np.ndarray:
+        return np.frombuffer(b"".join(t["total"].to_pylist()), np.float64).reshape(t.num_rows, -1)
+
+    def cosines(t: pa.Table) -> pa.Table:
+        centre = doubles(t)
+        cos = (unit_rows(t) * centre).sum(1) / np.linalg.norm(centre, axis=1)
+        return t.select(["head_rec_id", "rec_id", "size"]).append_column("cos", pa.array(np.round(cos, 12)))  # scaled copies tie
+
+    sums = "ds long, head_rec_id long, total binary"
+    some = map_arrow(rows.select("ds", "head_rec_id", "vec"), lambda t: add(column(t, "ds"), column(t, "head_rec_id"), unit_rows(t)), sums)
+    bucket = F.pmod(F.xxhash64("ds", "head_rec_id"), F.lit(8 * partitions(images.sparkSession)))
+    centres = some.groupBy(bucket.alias("bucket")).applyInArrow(lambda t: add(column(t, "ds"), column(t, "head_rec_id"), doubles(t)), sums)
+    return map_arrow(rows.join(centres, ["ds", "head_rec_id"]), cosines, "head_rec_id long, rec_id long, size long, cos double")
+
+
+def members(images: DataFrame, least: int = 3, set_rows: int = SET_ROWS, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """(ds, head_rec_id, rec_id, size): members of every group of at least `least` records of one data set of which any two have
     cosine >= TAU while every other record of the data set stays below TAU to all of them.
 
     A null data set is one of its own; records without rec_id or usable embedding belong to no group. Data sets of up to SET_ROWS
@@ -367,11 +399,11 @@ def groups(images: DataFrame, least: int = 3, set_rows: int = SET_ROWS, group_ro
     placed = _place(sized, layout, set_rows, group_rows).withColumn("bucket", F.pmod(F.xxhash64("ds", "at", "part"), F.lit(buckets(spark, total))))
     found = stage(placed.groupBy("bucket").applyInArrow(_task, _FOUND), "groups")
     label = _components(found)
-    mine = found.groupBy("ds", "rec_id").agg(F.sum("degree").alias("degree"), F.max("cos").alias("cos"))
-    members = mine.join(label, ["ds", "rec_id"])
-    stats = members.groupBy("ds", "label").agg(F.count("*").alias("size"), F.min("degree").alias("lo"), F.max("degree").alias("hi"), F.min("rec_id").alias("head_rec_id"))
+    mine = found.groupBy("ds", "rec_id").agg(F.sum("degree").alias("degree"))
+    labelled = mine.join(label, ["ds", "rec_id"])
+    stats = labelled.groupBy("ds", "label").agg(F.count("*").alias("size"), F.min("degree").alias("lo"), F.max("degree").alias("hi"), F.min("rec_id").alias("head_rec_id"))
     good = stats.where((F.col("size") >= least) & (F.col("lo") == F.col("size") - 1) & (F.col("hi") == F.col("size") - 1))
-    return members.join(good.select("ds", "label", "size", "head_rec_id"), ["ds", "label"]).select("head_rec_id", "rec_id", "size", "cos")
+    return labelled.join(good.select("ds", "label", "size", "head_rec_id"), ["ds", "label"]).select("ds", "head_rec_id", "rec_id", "size")
 
 
 def _radii(plan: Layout, sample: np.ndarray) -> np.ndarray:
@@ -405,7 +437,7 @@ def _components(found: DataFrame) -> DataFrame:
 
 
 def describe(members: DataFrame, typical: int = 3) -> DataFrame:
-    """One row a group: head, size and its `typical` members nearest to the centre, best first."""
+    """One row a group: head, size and its `typical` members nearest to the group's centre, best first."""
     order = Window.partitionBy("head_rec_id").orderBy(F.desc("cos"), "rec_id")
     ranked = members.withColumn("k", F.row_number().over(order)).where(F.col("k") <= typical)
     return ranked.groupBy("head_rec_id", "size").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "rec_id"))), lambda s: s.rec_id).alias("typical"))

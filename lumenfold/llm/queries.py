@@ -86,7 +86,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @LLM.add("p2_found", sql.P2_FOUND)
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members of every group of mutually similar records of one data set."""
-    return clusters.groups(table(spark, sf_dir, "images")).select("head_rec_id", "rec_id")
+    return clusters.members(table(spark, sf_dir, "images")).select("head_rec_id", "rec_id")
 
 
 @LLM.add("p2_clusters")

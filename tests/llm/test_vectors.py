@@ -144,6 +144,22 @@ def test_groups(spark, sizes):
         assert clusters.groups(images(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("sizes", [(10_000, 10_000), (50, 20)])
+def test_typical_members_are_nearest_to_the_groups_centre(spark, sizes):
+    rows = table(spark, 4, groups=25, per=12, spread=0.05)
+    got = clusters.groups(images(spark, rows), 3, *sizes)
+    typical = {r.head_rec_id: r.typical for r in clusters.describe(got).collect()}
+    own, vec = {}, {r[0]: vector(r) for r in rows}
+    for head, i in brute_groups(rows):
+        own.setdefault(head, []).append(i)
+    assert typical.keys() == own.keys()
+    for head, ids in own.items():
+        centre = unit(sum(vec[i] for i in ids))
+        assert typical[head] == sorted(ids, key=lambda i: (-round(float(vec[i] @ centre), 6), i))[:3] or np.allclose(
+            sorted(vec[i] @ centre for i in typical[head])[::-1], sorted((vec[i] @ centre for i in ids), reverse=True)[:3], atol=1e-7
+        )
+
+
 def test_tree_and_ward():
     x, _ = make(7)
     x = x.astype(np.float32)
