@@ -253,7 +253,8 @@ def hypernym_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT count(*) AS queries, round(100 * avg((rank < 10)::INT), 4) AS r10, round(100 * avg((rank < 100)::INT), 4) AS r100, median(rank)::DOUBLE AS median_rank FROM r""",
 )
 def retrieval_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Retrieval of one target per query: recall at depth and median rank."""
+    """Retrieval of one target per query: recall at 10 and 100 and median rank, for the ten queries and 500 targets that the SQL states;
+    A18 in part, without recall at 1 and 5 and without the other records."""
     it = items(spark, sf_dir)
     q = it.where("id % 50 = 0 AND id < 500").select(F.col("id").alias("q"), ((F.col("id") + 1) % 500).alias("target"), F.col("e").alias("qe"))
     s = it.crossJoin(F.broadcast(q)).select("q", "id", dot("e", "qe").alias("s"))
@@ -285,7 +286,8 @@ def negative_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT round(avg(agree::INT), 6) AS nn_agree, round(avg(len(list_intersect(a, b)) / 3), 6) AS top3_overlap, count(*) AS n FROM t""",
 )
 def fidelity_nn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbours under a coarse copy of the vectors against the true ones, for a stated set of queries."""
+    """Neighbours under a coarse copy of the vectors against the true ones, for the records below 100 that the SQL states
+    (J10 U5 M6; A42 in part, without mean, least and p1 cosine and verdict)."""
     from lumenfold.functions.vector import cosine
 
     it = items(spark, sf_dir).select("id", "e", F.transform("e", lambda x: F.round(x * 8) / 8).alias("f"))
