@@ -138,7 +138,9 @@ def leaks(docs: DataFrame, items: DataFrame, batch: int = 512) -> DataFrame:
     pairs once for each copy of the row only if ids repeat across batches, so pairs are made distinct at the end.
     """
     spark = docs.sparkSession
-    rows = items.select("item_id", "item_text").limit(MAX_ITEMS + 1).collect()
+    rows = items.where("item_id IS NOT NULL").select("item_id", "item_text").limit(MAX_ITEMS + 1).collect()
+    if len(rows) > MAX_ITEMS:  # before short items are left out, or items beyond the limit would not be searched
+        raise ValueError(f"over {MAX_ITEMS} items; the index holds at most {MAX_ITEMS}")
     index = spark.sparkContext.broadcast(ItemIndex.build([(r[0], r[1]) for r in rows]))
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -47,7 +47,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @LLM.add("p8_stats", sql.P8_STATS)
 def p8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line and word statistics of every document."""
-    words = [r[0] for r in table(spark, sf_dir, "common_words").select("word").distinct().limit(quality.MAX_WORDS + 1).collect() if r[0]]
+    words = [r[0] for r in table(spark, sf_dir, "common_words").select("word").where("word <> ''").distinct().limit(quality.MAX_WORDS + 1).collect()]
     return quality.text_stats(table(spark, sf_dir, "documents"), words)
 
 

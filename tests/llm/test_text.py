@@ -107,3 +107,15 @@ def test_mixture(spark):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, copies.collect()))
     none, empty = mix.mixture(docs(spark, []), targets)
     assert none.count() == 0 and empty.count() == 3
+
+
+def test_items_beyond_the_bound_are_refused_though_some_are_short(spark, monkeypatch):
+    import pytest
+
+    from lumenfold.llm import leak
+
+    monkeypatch.setattr(leak, "MAX_ITEMS", 2)
+    docs = spark.createDataFrame([(1, "a b c d e f g h")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "short"), (2, "i j k l m n o p"), (3, "q r s t u v w x"), (4, "a b c d e f g h")], "item_id long, item_text string").coalesce(1)
+    with pytest.raises(ValueError):
+        leak.leaks(docs, items).count()
