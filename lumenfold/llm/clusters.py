@@ -1,4 +1,4 @@
-"""Similarity clusters: cluster-feature trees, reduced leaf summaries, Ward agglomeration, full assignment, exact check."""
+"""Similarity clusters: cluster-feature trees per part, tree-reduced leaves, Ward agglomeration, full assignment, exact check."""
 
 from __future__ import annotations
 
@@ -9,142 +9,201 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm.cells import Layout, block_id, buckets, column, map_arrow, matrix, packed, pairs_at_least, sample_rows, spread, unit, usable_rows, vectors
+from lumenfold.llm.cells import buckets, column, map_arrow, matrix, packed, pairs_at_least, unit, vectors
 from lumenfold.session import partitions, small, stage
 
 TAU = 0.73
 ALPHA = float(np.arccos(TAU))
-#: Root-mean-square distance of a leaf's rows from their mean, at most.
+#: Root-mean-square distance of a leaf's rows from their mean, at most; grows where a tree would hold over MAX_LEAVES leaves.
 LEAF_RADIUS = 0.35
-#: Rows of one cluster-feature tree; the leaves of several trees are merged in a further tree.
-TREE_ROWS = 4_096
-#: A data set of more rows is divided by cells; a cell or the far rows of more rows are divided into groups.
-SET_ROWS, GROUP_ROWS = 8_192, 16_384
-#: Entries of a tree node.
-BRANCH = 48
+#: Entries of a tree node, and leaves of a tree.
+BRANCH, MAX_LEAVES = 48, 16_384
+#: Rows of one part, which one tree is built on; a data set of more rows has several parts.
+PART_ROWS = 8_192
+#: Rows that one task of the exact check holds for a data set of several parts.
+CHECK_ROWS = 16_384
+#: Trees whose leaves are merged by one task of the reduction.
+FAN_IN = 8
+#: Slack on angles for float32 arithmetic.
+SLACK = 2e-3
+
+
+class Features:
+    """Cluster features of some vectors: n, linear sums, squared sums."""
+
+    def __init__(self, n: np.ndarray, ls: np.ndarray, ss: np.ndarray):
+        self.n, self.ls, self.ss = n, ls, ss
+
+    @staticmethod
+    def of_rows(x: np.ndarray, weight: np.ndarray) -> Features:
+        x = x.astype(np.float64)
+        return Features(weight.astype(float), x * weight[:, None], (x * x).sum(1) * weight)
+
+    @staticmethod
+    def join(parts: list[Features]) -> Features:
+        return Features(*(np.concatenate([getattr(p, f) for p in parts]) for f in ("n", "ls", "ss")))
+
+    def __len__(self) -> int:
+        return len(self.n)
+
+    def take(self, at) -> Features:
+        return Features(self.n[at], self.ls[at], self.ss[at])
+
+    def total(self) -> Features:
+        return Features(self.n.sum(keepdims=True), self.ls.sum(0, keepdims=True), self.ss.sum(keepdims=True))
+
+    def mean(self) -> np.ndarray:
+        return self.ls / self.n[:, None]
+
+
+class _Node:
+    def __init__(self, entries: Features, children: list[_Node] | None = None):
+        self.entries, self.children = entries, children
 
 
 class CFTree:
-    """Cluster features (n, linear sum, squared sum) of vectors, in a tree: a vector or another feature goes down to the nearest
-    leaf entry and is absorbed if the entry's radius stays within bounds, else it opens an entry; full nodes split in two."""
-
-    def __init__(self, radius: float = LEAF_RADIUS):
-        self.limit = radius * radius
-        self.root = _Node(True)
-
-    def insert(self, n: float, ls: np.ndarray, ss: float) -> None:
-        node, path = self.root, []
-        while not node.leaf:
-            k = node.nearest(ls, n)
-            path.append((node, k))
-            node = node.children[k]
-        if node.size:
-            k = node.nearest(ls, n)
-            m = node.n[k] + n
-            s = node.ls[k] + ls
-            if (node.ss[k] + ss) / m - float(s @ s) / (m * m) <= self.limit:
-                node.add(k, n, ls, ss)
-                for parent, i in path:
-                    parent.add(i, n, ls, ss)
-                return
-        node.append(n, ls, ss, None)
-        for parent, i in path:
-            parent.add(i, n, ls, ss)
-        while node.size > BRANCH:
-            a, b = node.split()
-            if not path:
-                self.root = _Node(False)
-                for x in (a, b):
-                    self.root.append(*x.total(), x)
-                return
-            parent, i = path.pop()
-            parent.replace(i, a, b)
-            node = parent
-
-    def leaves(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(n, linear sums, squared sums) of the leaf entries."""
-        found, todo = [], [self.root]
+    """A cluster-feature tree. Features go down to the nearest entry, many at once: at each node one matrix product deals them
+    to the entries. In a leaf, an entry absorbs the features that leave its radius within bounds and whose mean cosine to it
+    stays over the bound; the others open entries. Nodes of more than BRANCH entries split at their two farthest entries. A
+    tree of more than MAX_LEAVES leaves is built again from its leaves with a wider radius."""
+
+    def __init__(self, radius: float = LEAF_RADIUS, max_leaves: int = MAX_LEAVES):
+        self.radius, self.max_leaves = radius, max_leaves
+        self.root: _Node | None = None
+
+    def insert(self, f: Features, block: int = 1024) -> None:
+        for s in range(0, len(f), block):
+            part = f.take(slice(s, s + block))
+            nodes = self._leaf(None, part) if self.root is None else self._down(self.root, part)
+            while len(nodes) > 1:
+                nodes = self._split(_Node(Features.join([n.entries.total() for n in nodes]), nodes))
+            self.root = nodes[0]
+            while self.size() > self.max_leaves:
+                leaves = self.leaves()
+                self.radius, self.root = self.radius * 1.25, None
+                self.insert(leaves.take(np.argsort(-leaves.n, kind="stable")), block)
+
+    def size(self) -> int:
+        todo, n = [self.root], 0
         while todo:
             x = todo.pop()
-            if x.leaf:
-                found.append(x)
-            else:
-                todo += x.children
-        return tuple(np.concatenate([getattr(x, f)[: x.size] for x in found]) for f in ("n", "ls", "ss"))
+            n += len(x.entries) if x.children is None else 0
+            todo += x.children or []
+        return n
+
+    def leaves(self) -> Features:
+        todo, found = [self.root], []
+        while todo:
+            x = todo.pop()
+            if x.children is None:
+                found.append(x.entries)
+            todo += x.children or []
+        return Features.join(found)
+
+    def _down(self, node: _Node, f: Features) -> list[_Node]:
+        """Inserts f below node; returns the nodes that take its place."""
+        if node.children is None:
+            return self._leaf(node.entries, f)
+        to = _nearest(f, node.entries)
+        children = []
+        for k, child in enumerate(node.children):
+            mine = np.flatnonzero(to == k)
+            children += self._down(child, f.take(mine)) if len(mine) else [child]
+        return self._split(_Node(Features.join([c.entries.total() for c in children]), children))
+
+    def _leaf(self, entries: Features | None, f: Features) -> list[_Node]:
+        e = entries
+        while len(f):
+            done, fresh = np.zeros(len(f), bool), np.arange(len(f))
+            if e is not None:
+                to = _nearest(f, e)
+                fits = self._fits(e.take(to), f)
+                fresh = np.flatnonzero(~fits)
+                if len(fresh) < len(f):
+                    e, o = self._absorb(e, f, to, np.flatnonzero(fits))
+                    done[o] = True
+            if len(fresh):
+                opened = fresh[self._leaders(f.take(fresh))]
+                e = f.take(opened) if e is None else Features.join([e, f.take(opened)])
+                done[opened] = True
+            f = f.take(np.flatnonzero(~done))  # those that an entry had no room for look again
+        return self._split(_Node(e))
+
+    def _absorb(self, e: Features, f: Features, to: np.ndarray, ok: np.ndarray) -> tuple[Features, np.ndarray]:
+        """(entries after, features absorbed): of the features that fit one entry each, nearest first, as many as its radius
+        allows together."""
+        gap = ((f.ls[ok] / f.n[ok, None] - e.ls[to[ok]] / e.n[to[ok], None]) ** 2).sum(1)
+        o = ok[np.lexsort((gap, to[ok]))]
+        first = np.searchsorted(to[o], to[o])
+        run = lambda a: (c := np.cumsum(a, axis=0)) - c[first] + a[first]
+        base = e.take(to[o])
+        n, ls, ss = base.n + run(f.n[o]), base.ls + run(f.ls[o]), base.ss + run(f.ss[o])
+        outside = ss / n - (ls * ls).sum(1) / n**2 > self.radius**2
+        if outside.any():
+            o = o[(run(outside.astype(np.int64)) == 0) | (np.arange(len(o)) == first)]
+        n, ls, ss = e.n.copy(), e.ls.copy(), e.ss.copy()
+        np.add.at(n, to[o], f.n[o])
+        np.add.at(ls, to[o], f.ls[o])
+        np.add.at(ss, to[o], f.ss[o])
+        return Features(n, ls, ss), o
+
+    def _leaders(self, f: Features) -> np.ndarray:
+        """Features none of which would absorb another; in order, each that no earlier one absorbs."""
+        out, open_ = [], np.ones(len(f), bool)
+        for s in range(0, len(f), 512):
+            part = f.take(slice(s, s + 512))
+            n = part.n[:, None] + part.n[None, :]
+            dot = part.ls @ part.ls.T
+            sq = np.diagonal(dot)
+            r2 = (part.ss[:, None] + part.ss[None, :]) / n - (sq[:, None] + sq[None, :] + 2 * dot) / n**2
+            near = (r2 <= self.radius**2) & (dot >= self._cosine() * part.n[:, None] * part.n[None, :])
+            free = open_[s : s + 512].copy()
+            for i in range(len(part)):
+                if free[i]:
+                    out.append(s + i)
+                    free &= ~near[i]
+            if len(f) > 512:  # later blocks meet these entries when they look again
+                break
+        return np.array(out, np.int64)
+
+    def _cosine(self) -> float:
+        return max(-1.0, 1.0 - (1.0 - TAU) * (self.radius / LEAF_RADIUS) ** 2)
+
+    def _fits(self, e: Features, f: Features) -> np.ndarray:
+        n, ls = e.n + f.n, e.ls + f.ls
+        r2 = (e.ss + f.ss) / n - (ls * ls).sum(1) / n**2
+        return (r2 <= self.radius**2) & ((e.ls * f.ls).sum(1) >= self._cosine() * e.n * f.n)
+
+    def _split(self, node: _Node) -> list[_Node]:
+        """The node, or the nodes that it splits into."""
+        done, todo = [], [node]
+        while todo:
+            x = todo.pop()
+            if len(x.entries) <= BRANCH:
+                done.append(x)
+                continue
+            m = x.entries.mean()
+            far = int(((m - m.mean(0)) ** 2).sum(1).argmax())
+            d = ((m - m[far]) ** 2).sum(1)
+            other = int(d.argmax())
+            near = d <= ((m - m[other]) ** 2).sum(1)
+            near[far], near[other] = True, False
+            for mask in (near, ~near):
+                at = np.flatnonzero(mask)
+                todo.append(_Node(x.entries.take(at), None if x.children is None else [x.children[i] for i in at]))
+        return done
 
 
-class _Node:
-    def __init__(self, leaf: bool, dim: int = 64):
-        self.leaf, self.size, self.children = leaf, 0, []
-        self.n, self.ls, self.ss = np.zeros(8), np.zeros((8, dim)), np.zeros(8)
-        self.mean, self.sq = np.zeros((8, dim)), np.zeros(8)
-
-    def nearest(self, ls: np.ndarray, n: float) -> int:
-        k = self.size
-        return int((self.sq[:k] - 2 / n * (self.mean[:k] @ ls)).argmin())
-
-    def _refresh(self, k: int) -> None:
-        self.mean[k] = self.ls[k] / self.n[k]
-        self.sq[k] = self.mean[k] @ self.mean[k]
-
-    def add(self, k: int, n: float, ls: np.ndarray, ss: float) -> None:
-        self.n[k] += n
-        self.ls[k] += ls
-        self.ss[k] += ss
-        self._refresh(k)
-
-    def append(self, n: float, ls: np.ndarray, ss: float, child: _Node | None) -> None:
-        k = self.size
-        if k == len(self.n):
-            for f in ("n", "ls", "ss", "mean", "sq"):
-                a = getattr(self, f)
-                setattr(self, f, np.concatenate([a, np.zeros_like(a)]))
-        self.n[k], self.ls[k], self.ss[k] = n, ls, ss
-        self._refresh(k)
-        if child is not None:
-            self.children.append(child)
-        self.size += 1
-
-    def total(self) -> tuple[float, np.ndarray, float]:
-        k = self.size
-        return float(self.n[:k].sum()), self.ls[:k].sum(0), float(self.ss[:k].sum())
-
-    def split(self) -> tuple[_Node, _Node]:
-        k = self.size
-        m = self.mean[:k]
-        d = self.sq[:k, None] + self.sq[None, :k] - 2 * m @ m.T
-        i, j = np.unravel_index(int(d.argmax()), d.shape)
-        near_i = d[i] <= d[j]
-        near_i[i], near_i[j] = True, False
-        parts = (_Node(self.leaf, m.shape[1]), _Node(self.leaf, m.shape[1]))
-        for p, mask in zip(parts, (near_i, ~near_i)):
-            for e in np.flatnonzero(mask):
-                p.append(self.n[e], self.ls[e].copy(), self.ss[e], None if self.leaf else self.children[e])
-        return parts
-
-    def replace(self, i: int, a: _Node, b: _Node) -> None:
-        self.children[i] = a
-        self.n[i], self.ls[i], self.ss[i] = a.total()
-        self._refresh(i)
-        self.append(*b.total(), b)
-
-
-def leaf_summaries(x: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Leaves of the rows' trees: one tree per TREE_ROWS rows, then the leaf summaries merged pairwise up to one tree."""
-    trees = []
-    for s in range(0, len(x), TREE_ROWS):
-        tree = CFTree()
-        for v, w in zip(x[s : s + TREE_ROWS].astype(np.float64), weight[s : s + TREE_ROWS].tolist()):
-            tree.insert(w, v * w, w)
-        trees.append(tree)
-    while len(trees) > 1:
-        merged = []
-        for a, b in zip(trees[::2], [*trees[1::2], None]):
-            for n, ls, ss in zip(*b.leaves()) if b is not None else ():
-                a.insert(n, ls, ss)
-            merged.append(a)
-        trees = merged
-    return trees[0].leaves()
+def _nearest(f: Features, e: Features) -> np.ndarray:
+    m = e.mean()
+    return ((m * m).sum(1)[None, :] - 2 * (f.mean() @ m.T)).argmin(1)
+
+
+def leaf_summaries(x: np.ndarray, weight: np.ndarray) -> Features:
+    """Leaves of one tree over the rows."""
+    tree = CFTree()
+    tree.insert(Features.of_rows(x, weight))
+    return tree.leaves()
 
 
 def ward(n: np.ndarray, ls: np.ndarray, tau: float = TAU) -> np.ndarray:
@@ -169,187 +228,402 @@ def ward(n: np.ndarray, ls: np.ndarray, tau: float = TAU) -> np.ndarray:
         i, j, prod = i[s + i < j] + s, j[s + i < j], prod[i[s + i < j], j[s + i < j]]
         heap += zip(cost(i, j, prod).tolist(), i.tolist(), j.tolist(), [0] * len(i), [0] * len(i))
     heapq.heapify(heap)
+    into = np.arange(k)
     while heap:
         _, i, j, vi, vj = heapq.heappop(heap)
         if not (alive[i] and alive[j]) or version[i] != vi or version[j] != vj:
             continue
         alive[j] = False
-        label[label == j] = i
+        into[j] = i
         n[i] += n[j]
         ls[i] += ls[j]
         sq[i] = ls[i] @ ls[i]
         version[i] += 1
-        js = np.flatnonzero(alive)
-        js = js[js != i]
-        prod = ls[js] @ ls[i]
-        near = prod >= tau * n[i] * n[js]
-        js, prod = js[near], prod[near]
+        prod = ls @ ls[i]
+        near = alive & (prod >= tau * n[i] * n)
+        near[i] = False
+        js = np.flatnonzero(near)
+        prod = prod[js]
         for c, e in zip(cost(i, js, prod).tolist(), js.tolist()):
             a, b = min(i, e), max(i, e)
             heapq.heappush(heap, (c, a, b, int(version[a]), int(version[b])))
-    return label
+    while (into != into[into]).any():
+        into = into[into]
+    return into
+
+
+def centres(leaves: Features) -> np.ndarray:
+    """Unit centres of the clusters that Ward makes of the leaves."""
+    _, label = np.unique(ward(leaves.n, leaves.ls), return_inverse=True)
+    sums = np.zeros((label.max() + 1, leaves.ls.shape[1]))
+    np.add.at(sums, label, leaves.ls)
+    return (sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+
 
+def assign(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The full assignment pass: (nearest centre, angle to it, never too small) of unit rows."""
+    who, cos = np.empty(len(x), np.int64), np.empty(len(x), np.float32)
+    for s in range(0, len(x), 2048):
+        d = x[s : s + 2048] @ c.T
+        who[s : s + 2048] = d.argmax(1)
+        cos[s : s + 2048] = d[np.arange(len(d)), who[s : s + 2048]]
+    return who, (np.arccos(np.clip(cos, -1, 1)) + 1e-3).astype(np.float32)
 
-def _find(parent: np.ndarray, i: int) -> int:
-    while parent[i] != i:
-        parent[i] = parent[parent[i]]
-        i = parent[i]
-    return i
+
+#: Kinds of rows of a check: at home, the rim of a cluster whose home rows lie in several tasks, visitors of other clusters.
+HOME, RIM, VISITOR = 0, 1, 2
+
+
+def check(x: np.ndarray, raw: np.ndarray, weight: np.ndarray, cluster: np.ndarray, angle: np.ndarray, kind: np.ndarray, names: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of neighbours met here, number of the local component) of each row, exactly; inner pairs are not counted.
+
+    names, c: numbers (ascending) and centres of the clusters whose home rows are here. Home rows within ALPHA / 2 of their
+    centre are inner: any two of one cluster are neighbours, whatever the task, and need no comparison. The others of the
+    cluster, its rim, are compared with its home rows. A row meets the clusters numbered above its own unless its angle to
+    their centre exceeds ALPHA and their radius, so that each pair of rows is counted once.
+    """
+    n = len(x)
+    degree = np.zeros(n)
+    at = np.searchsorted(names, cluster)
+    here = (at < len(names)) & (names[np.minimum(at, len(names) - 1)] == cluster)
+    home = np.flatnonzero(kind == HOME)
+    home = home[np.argsort(at[home], kind="stable")]
+    starts = np.searchsorted(at[home], np.arange(len(names) + 1))
+    inner = (kind == HOME) & (angle <= ALPHA / 2)
+    reach = np.full(len(names), -np.pi, np.float32)
+    np.maximum.at(reach, at[home], angle[home])
+    limit = np.cos(np.clip(ALPHA + reach + SLACK, 0, np.pi)).astype(np.float32)
+    ask_q, ask_c = [], []
+    movers = np.flatnonzero(kind != RIM)
+    for s in range(0, len(movers), 2048):
+        m = movers[s : s + 2048]
+        i, k = np.nonzero(x[m] @ c.T >= limit)
+        ok = names[k] > cluster[m[i]]
+        ask_q.append(m[i[ok]])
+        ask_c.append(k[ok])
+    rim = np.flatnonzero(here & ~inner & (kind != VISITOR))
+    ask_q.append(rim)
+    ask_c.append(at[rim])
+    q, k = np.concatenate(ask_q), np.concatenate(ask_c)
+    o = np.argsort(k, kind="stable")
+    q, k = q[o], k[o]
+    left, right = [], []
+    for g in np.split(np.arange(len(k)), np.flatnonzero(np.diff(k)) + 1) if len(k) else ():
+        t = home[starts[k[g[0]]] : starts[k[g[0]] + 1]]
+        if len(t):
+            a = q[g]
+            i, j = pairs_at_least(x[a], x[t], TAU, raw[a], raw[t])
+            i, j = a[i], t[j]
+            m = i != j
+            left.append(i[m])
+            right.append(j[m])
+    none = np.empty(0, np.int64)
+    i, j = (np.concatenate(left), np.concatenate(right)) if left else (none, none)
+    np.add.at(degree, i, weight[j])
+    # a rim row asks for itself, in every task of its cluster; all others that are asked are told
+    told = inner[j] | (cluster[i] != cluster[j])
+    np.add.at(degree, j[told], weight[i[told]])
+    ends = np.flatnonzero(inner)
+    first = np.full(len(names), n)
+    np.minimum.at(first, at[ends], ends)
+    return degree, components(n, np.concatenate([i, ends]), np.concatenate([j, first[at[ends]]]))
+
+
+def components(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Least row number of each row's component under the links (i, j)."""
+    label = np.arange(n)
+    while len(i):
+        before = label.copy()
+        low = np.minimum(label[i], label[j])
+        np.minimum.at(label, i, low)
+        np.minimum.at(label, j, low)
+        np.minimum.at(label, before, label.copy())
+        label = label[label]
+        if (label == before).all():
+            break
+    return label
 
 
-def local_groups(x: np.ndarray, raw: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(component, number of neighbours, cosine to the cluster's centre) of each row of one task.
+def set_groups(x: np.ndarray, raw: np.ndarray, rec: np.ndarray, least: int = 3, labels=None) -> list[tuple[np.ndarray, bool]]:
+    """Groups of one whole data set, as (row numbers, whether one cluster as it stands): trees, Ward, assignment and check.
 
-    side: pairs count if both sides are 0, or one is 0 and the other 1, or they are 2 and 3; 1 marks visitors and 2, 3 the two
-    groups of a block. Copies are one row with a weight. Clusters come from the leaves by Ward and a full assignment to the
-    nearest centre. Then the exact check: rows whose angles to the centre sum to at most ALPHA are surely neighbours, clusters
-    whose centres are further apart than ALPHA and both radii surely have none between them; only pairs that these bounds leave
-    open are compared.
+    Copies count as one row with a weight. A group is a component of which every row has size - 1 neighbours. labels replaces
+    the clusters in tests: given the distinct rows, (cluster, angle, centres).
     """
-    _, first, inverse = np.unique(np.column_stack([raw.view(np.uint32), side.astype(np.uint32)[:, None]]), axis=0, return_index=True, return_inverse=True)
-    inverse = inverse.reshape(-1)
-    u, r, sd = x[first], raw[first], side[first]
+    bytes_, width, seen = raw.tobytes(), raw.shape[1] * 4, {}
+    inverse = np.array([seen.setdefault(bytes_[k : k + width], len(seen)) for k in range(0, len(bytes_), width)], np.int64)
+    first = np.unique(inverse, return_index=True)[1]
+    u, r = x[first], raw[first]
     weight = np.bincount(inverse, minlength=len(first)).astype(float)
-    n, ls, _ = leaf_summaries(u, weight)
-    label = ward(n, ls)
-    names, label = np.unique(label, return_inverse=True)
-    sums = np.zeros((len(names), u.shape[1]))
-    np.add.at(sums, label, ls)
-    norm = np.linalg.norm(sums, axis=1, keepdims=True)
-    centres = (sums / np.maximum(norm, 1e-9)).astype(np.float32)
-    who, cos = np.empty(len(u), np.int64), np.empty(len(u), np.float32)
-    for s in range(0, len(u), 2048):  # the full assignment pass
-        c = u[s : s + 2048] @ centres.T
-        who[s : s + 2048] = c.argmax(1)
-        cos[s : s + 2048] = c[np.arange(len(c)), who[s : s + 2048]]
-    angle = np.arccos(np.clip(cos, -1, 1)) + 1e-3
-    parent = np.arange(len(u))
-    degree = np.zeros(len(u))
-    order = np.argsort(who, kind="stable")
-    members = np.split(order, np.flatnonzero(np.diff(who[order])) + 1)
-    reach = np.array([angle[m].max() for m in members])
-    live = centres[[who[m[0]] for m in members]]
-
-    def counts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return ((a == 0) & (b <= 1)) | ((b == 0) & (a <= 1)) | (a + b == 5)
-
-    def link(i: np.ndarray, j: np.ndarray) -> None:
-        """Counts the near pairs (i, j), each given once, and joins their components."""
-        m = counts(sd[i], sd[j])
-        i, j = i[m], j[m]
-        np.add.at(degree, i, weight[j])
-        np.add.at(degree, j, weight[i])
-        for a, b in zip(i.tolist(), j.tolist()):
-            a, b = _find(parent, a), _find(parent, b)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-
-    for k, m in enumerate(members):
-        inner = m[angle[m] <= ALPHA / 2]
-        rim = m[angle[m] > ALPHA / 2]
-        if len(inner):
-            per = np.array([weight[inner][sd[inner] == v].sum() for v in range(4)])
-            mates = {0: per[0] + per[1], 1: per[0], 2: per[3], 3: per[2]}
-            degree[inner] += np.array([mates[v] for v in sd[inner].tolist()]) - np.where(sd[inner] == 0, weight[inner], 0)
-            anchor = inner[sd[inner] == 0] if per[0] else inner if per[2] and per[3] else inner[:0]
-            joined = inner if len(anchor) else inner[:0]
-            if len(joined):
-                top = min(_find(parent, int(a)) for a in (joined[:1]))
-                for a in joined.tolist():
-                    a = _find(parent, a)
-                    if a != top:
-                        parent[max(a, top)] = min(a, top)
-                        top = min(a, top)
-        if len(rim):
-            i, j = pairs_at_least(u[rim], u[inner], TAU, r[rim], r[inner])
-            link(rim[i], inner[j])
-            i, j = pairs_at_least(u[rim], u[rim], TAU, r[rim], r[rim])
-            link(rim[i[i < j]], rim[j[i < j]])
-        for s in range(k + 1, len(members), 4096):
-            near = np.arccos(np.clip(live[s : s + 4096] @ live[k], -1, 1)) <= ALPHA + reach[k] + reach[s : s + 4096] + 2e-3
-            for e in np.flatnonzero(near):
-                other = members[s + e]
-                i, j = pairs_at_least(u[m], u[other], TAU, r[m], r[other])
-                if len(i):
-                    link(m[i], other[j])
-    # copies of one row are neighbours of each other: home rows here; copies among visitors and blocks count where they are home
-    degree += np.where(sd == 0, weight - 1, 0)
-    root = np.array([_find(parent, i) for i in range(len(u))], np.int64)
-    return root[inverse], degree[inverse], cos[inverse]
-
-
-_ROWS = "ds long, rec_id long, at long, part int, side int, vec binary"
-_FOUND = "ds long, rec_id long, comp string, degree double, size long"
-
-
-def _place(rows: DataFrame, layout, set_rows: int, group_rows: int) -> DataFrame:
-    """Each usable row in every task that it takes part in."""
+    if labels is None:
+        c = centres(leaf_summaries(u, weight))
+        who, angle = assign(u, c)
+    else:
+        who, angle, c = labels(u)
+    degree, comp = check(u, r, weight, who, angle, np.zeros(len(u), np.int64), np.arange(len(c)), c)
+    inner = angle <= ALPHA / 2
+    held = np.bincount(who, weights=weight * inner, minlength=len(c))
+    degree += weight - 1 + np.where(inner, held[who] - weight, 0)
+    size = np.bincount(comp, weights=weight, minlength=len(u))
+    wrong = np.bincount(comp, weights=degree != size[comp] - 1, minlength=len(u))
+    rows = np.bincount(who, minlength=len(c))
+    good = (size >= least) & (wrong == 0)
+    out = []
+    mine = np.flatnonzero(good[comp[inverse]])
+    mine = mine[np.argsort(comp[inverse][mine], kind="stable")]
+    for g in np.split(mine, np.flatnonzero(np.diff(comp[inverse][mine])) + 1) if len(mine) else ():
+        own = np.unique(inverse[g])
+        out.append((g, bool((who[own] == who[own[0]]).all() and rows[who[own[0]]] == len(own))))
+    return out
+
+
+_GROUPS = "ds long, head_rec_id long, rec_id long, size long"
+
+
+def _sets(rows: DataFrame, total: int, least: int) -> DataFrame:
+    """Members of the groups of data sets of one part each."""
 
     def f(t: pa.Table) -> pa.Table:
-        lay: Layout = layout.value
-        at, raw = usable_rows(t["emb"])
-        t = t.take(pa.array(at))
-        x, ids, ds, n = unit(raw), column(t, "rec_id"), column(t, "ds"), column(t, "n")
-        big = np.flatnonzero(n > set_rows)
-        whole = np.flatnonzero(n <= set_rows)
-        out = [(whole, np.full(len(whole), 1 << 40), np.zeros(len(whole), np.int64), np.zeros(len(whole), np.int64))]
-        if len(big):
-            xb = x[big]
-            home, angle = lay.cells.assign(xb)
-            home = np.where((home >= 0) & (angle <= lay.cells.radius[home] if len(lay.cells.radius) else False), home, -1)
-            row, cell = lay.cells.visits(xb, home, ALPHA, above_home=True)
-            groups = np.where(home >= 0, np.minimum(lay.parts[home] if len(lay.parts) else 1, -(-n[big] // group_rows)), np.minimum(lay.far_groups, -(-n[big] // group_rows)))
-            mine = spread(ids[big], groups)
-            # a row meets every group of its cell (or of the far rows): block (i, i) with all pairs, block (i, j) across
-            rep = np.repeat(np.arange(len(big)), groups)
-            other = np.arange(len(rep)) - np.repeat(np.cumsum(groups) - groups, groups)
-            same = other == mine[rep]
-            side = np.where(same, 0, np.where(mine[rep] < other, 2, 3))
-            place = np.where(home[rep] >= 0, home[rep], -1)
-            out.append((big[rep], place, -block_id(mine[rep], other) - 1, side))
-            # a visitor meets the blocks (i, i) of the cell it visits
-            g = np.minimum(lay.parts[cell] if len(lay.parts) else 1, -(-n[big][row] // group_rows)) if len(row) else np.empty(0, np.int64)
-            rep = np.repeat(np.arange(len(row)), g)
-            other = np.arange(len(rep)) - np.repeat(np.cumsum(g) - g, g)
-            out.append((big[row[rep]], cell[rep], -block_id(other, other) - 1, np.ones(len(rep), np.int64)))
-        i, place, block, side = (np.concatenate(c).astype(np.int64) for c in zip(*out))
-        return pa.table({"ds": ds[i], "rec_id": ids[i], "at": place, "part": block.astype(np.int32), "side": side.astype(np.int32), "vec": packed(raw[i])})
-
-    return map_arrow(rows, f, _ROWS)
-
-
-def _task(t: pa.Table) -> pa.Table:
-    ds, rec, at, part, side = (column(t, c) for c in ("ds", "rec_id", "at", "part", "side"))
-    raw = matrix(t["vec"])
-    x = unit(raw)
-    order = np.lexsort((rec, part, at, ds))
-    change = np.flatnonzero((np.diff(ds[order]) != 0) | (np.diff(at[order]) != 0) | (np.diff(part[order]) != 0)) + 1
-    cols: list[list] = [[] for _ in range(5)]
-    for g in np.split(order, change):
-        if len(g) < 2:
-            continue
-        root, degree, _ = local_groups(x[g], raw[g], side[g])
-        hit = np.flatnonzero(degree > 0)
-        if not len(hit):
-            continue
-        size = np.bincount(root[hit], minlength=root.max() + 1)
-        head = np.full(root.max() + 1, np.iinfo(np.int64).max)
-        np.minimum.at(head, root[hit], rec[g][hit])
-        names = [f"{at[g[0]]}/{part[g[0]]}/{h}" for h in head[root[hit]].tolist()]
-        for c, v in zip(cols, (ds[g][hit], rec[g][hit], names, degree[hit], size[root[hit]])):
-            c.append(v)
-    cat = lambda p, kind: np.concatenate(p) if p else np.empty(0, kind)
-    names = [n for p in cols[2] for n in p]
+        ds, rec = column(t, "ds"), column(t, "rec_id")
+        raw = matrix(t["vec"])
+        x = unit(raw)
+        out: list[tuple] = []
+        order = np.lexsort((rec, ds))
+        for g in np.split(order, np.flatnonzero(np.diff(ds[order])) + 1):
+            if len(g) >= least:
+                for m, _ in set_groups(x[g], raw[g], rec[g], least):
+                    ids = rec[g[m]]
+                    out.append((np.full(len(ids), ds[g[0]]), np.full(len(ids), ids.min()), ids, np.full(len(ids), len(ids))))
+        cols = [np.concatenate(c).astype(np.int64) for c in zip(*out)] if out else [np.empty(0, np.int64)] * 4
+        return pa.table(dict(zip(("ds", "head_rec_id", "rec_id", "size"), cols)))
+
+    bucket = F.pmod(F.xxhash64("ds"), F.lit(buckets(rows.sparkSession, total)))
+    return rows.select("ds", "rec_id", "vec", bucket.alias("bucket")).groupBy("bucket").applyInArrow(f, _GROUPS)
+
+
+_LEAVES = "ds long, part int, n double, ls binary, ss double"
+
+
+def _leaf_table(ds: int, part: int, f: Features) -> pa.Table:
     return pa.table(
-        {"ds": cat(cols[0], np.int64), "rec_id": cat(cols[1], np.int64), "comp": pa.array(names, pa.string()), "degree": cat(cols[3], float), "size": cat(cols[4], np.int64)}
+        {"ds": np.full(len(f), ds, np.int64), "part": np.full(len(f), part, np.int32), "n": f.n, "ls": pa.array([v.tobytes() for v in f.ls], pa.binary()), "ss": f.ss}
     )
 
 
-def groups(images: DataFrame, least: int = 3, set_rows: int = SET_ROWS, group_rows: int = GROUP_ROWS) -> DataFrame:
+def _merged(t: pa.Table) -> CFTree:
+    """One tree of the leaves of several."""
+    ls = np.frombuffer(b"".join(t["ls"].to_pylist()), np.float64).reshape(t.num_rows, -1)
+    f = Features(column(t, "n"), ls, column(t, "ss"))
+    tree = CFTree()
+    tree.insert(f.take(np.argsort(-f.n, kind="stable")))
+    return tree
+
+
+def set_centres(reps: DataFrame, sizes: DataFrame, parts: int) -> DataFrame:
+    """(ds, cluster, centre) of data sets of several parts: a tree a part, leaves reduced FAN_IN trees at a time until one tree
+    a data set is left, and Ward on its leaves. At most MAX_LEAVES clusters a data set."""
+
+    def build(key: tuple, t: pa.Table) -> pa.Table:
+        x = unit(matrix(t["vec"]))
+        return _leaf_table(key[0].as_py(), key[1].as_py(), leaf_summaries(x, column(t, "w").astype(float)))
+
+    def merge(key: tuple, t: pa.Table) -> pa.Table:
+        return _leaf_table(key[0].as_py(), key[1].as_py(), _merged(t).leaves())
+
+    def agglomerate(key: tuple, t: pa.Table) -> pa.Table:
+        c = centres(_merged(t).leaves())
+        return pa.table({"ds": np.full(len(c), key[0].as_py(), np.int64), "cluster": np.arange(len(c), dtype=np.int32), "centre": packed(c)})
+
+    leaves = reps.groupBy("ds", "part").applyInArrow(build, _LEAVES)
+    while parts > FAN_IN:
+        parts = -(-parts // FAN_IN)
+        leaves = leaves.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int")).groupBy("ds", "part").applyInArrow(merge, _LEAVES)
+    found = leaves.groupBy("ds").applyInArrow(agglomerate, "ds long, cluster int, centre binary")
+    return stage(found, "centres")
+
+
+def _to_parts(model: DataFrame, sizes: DataFrame) -> DataFrame:
+    """A data set's clusters, for each of its parts."""
+    return model.join(small(sizes), "ds").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+
+
+def _assigned(reps: DataFrame, model: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The full assignment pass: each row with its nearest centre."""
+
+    def f(t: pa.Table, m: pa.Table) -> pa.Table:
+        t = t.select(["ds", "part", "rec_id", "w", "vec"])
+        cluster, angle = assign(unit(matrix(t["vec"])), matrix(m["centre"])) if t.num_rows and m.num_rows else (np.empty(0), np.empty(0))
+        number = column(m, "cluster")[cluster.astype(np.int64)] if len(cluster) else np.empty(0, np.int32)
+        return t.slice(0, len(cluster)).append_column("cluster", pa.array(number, pa.int32())).append_column("angle", pa.array(angle, pa.float32()))
+
+    schema = "ds long, part int, rec_id long, w long, vec binary, cluster int, angle float"
+    return stage(reps.groupBy("ds", "part").cogroup(_to_parts(model, sizes).groupBy("ds", "part")).applyInArrow(f, schema), "assigned")
+
+
+def _packed_clusters(rows: DataFrame, model: DataFrame, check_rows: int) -> DataFrame:
+    """(ds, cluster, centre, radius, inner, first, tasks): clusters with their radius, the weight of their inner rows, and the
+    tasks that hold their home rows: small clusters share one, large ones have several."""
+    stats = rows.groupBy("ds", "cluster").agg(F.max("angle").alias("radius"), F.count("*").alias("n"), F.sum(F.when(F.col("angle") <= ALPHA / 2, F.col("w")).otherwise(0)).alias("inner"))
+
+    def pack(t: pa.Table) -> pa.Table:
+        t = t.sort_by("cluster")
+        n = column(t, "n")
+        tasks = -(-n // check_rows)
+        first, free, room = np.zeros(len(n), np.int32), 0, 0
+        for i, (k, many) in enumerate(zip(n.tolist(), tasks.tolist())):
+            if many > 1:
+                first[i], free, room = free, free + many, 0
+            else:
+                if room < k:
+                    free, room = free + 1, check_rows
+                first[i], room = free - 1, room - k
+        return t.drop_columns(["n"]).append_column("first", pa.array(first)).append_column("tasks", pa.array(tasks, pa.int32()))
+
+    joined = model.join(stats, ["ds", "cluster"]).select("ds", "cluster", "centre", "radius", "inner", "n")
+    return stage(joined.groupBy("ds").applyInArrow(pack, "ds long, cluster int, centre binary, radius float, inner long, first int, tasks int"), "packed")
+
+
+_MET = "ds long, task int, kind int, rec_id long, w long, cluster int, angle float, plus long, vec binary"
+_FOUND = "ds long, rec_id long, comp string, degree double, w long"
+
+
+def _met(rows: DataFrame, model: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Each row once in every task that it takes part in, and each cluster's centre (rec_id null) in the tasks of its rows."""
+
+    def f(t: pa.Table, m: pa.Table) -> pa.Table:
+        if not t.num_rows or not m.num_rows:
+            return pa.table({k: pa.array([], v) for k, v in _MET_TYPES.items()})
+        m = m.sort_by("cluster")
+        names, c, radius = column(m, "cluster"), matrix(m["centre"]), column(m, "radius")
+        first, tasks, held = column(m, "first"), column(m, "tasks"), column(m, "inner")
+        raw, rec, w, angle = matrix(t["vec"]), column(t, "rec_id"), column(t, "w"), column(t, "angle")
+        x = unit(raw)
+        at = np.searchsorted(names, column(t, "cluster"))
+        inner = angle <= ALPHA / 2
+        h = rec.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        own = first[at] + (h >> np.uint64(33)).astype(np.int64) % tasks[at]
+        row, task, kind = [np.arange(len(rec))], [own], [np.zeros(len(rec), np.int64)]
+        # the rim of a cluster in several tasks asks in all of them
+        many = np.flatnonzero(~inner & (tasks[at] > 1))
+        rep = np.repeat(many, tasks[at[many]])
+        to = np.repeat(first[at[many]], tasks[at[many]]) + np.arange(len(rep)) - np.repeat(np.cumsum(tasks[at[many]]) - tasks[at[many]], tasks[at[many]])
+        other = to != own[rep]
+        row.append(rep[other])
+        task.append(to[other])
+        kind.append(np.full(int(other.sum()), RIM))
+        limit = np.cos(np.clip(ALPHA + radius + SLACK, 0, np.pi)).astype(np.float32)
+        for s in range(0, len(x), 2048):
+            i, k = np.nonzero(x[s : s + 2048] @ c.T >= limit)
+            i = i + s
+            i, k = i[k > at[i]], k[k > at[i]]
+            rep = np.repeat(np.arange(len(i)), tasks[k])
+            to = first[k[rep]] + np.arange(len(rep)) - np.repeat(np.cumsum(tasks[k]) - tasks[k], tasks[k])
+            # home rows meet the other clusters of their task anyway
+            pair = np.unique(np.stack([i[rep], to], axis=1)[to != own[i[rep]]], axis=0)
+            row.append(pair[:, 0])
+            task.append(pair[:, 1])
+            kind.append(np.full(len(pair), VISITOR))
+        row, task, kind = (np.concatenate(a).astype(np.int64) for a in (row, task, kind))
+        plus = np.where((kind == HOME) & inner[row], held[at[row]] - w[row], 0)
+        ds = t["ds"][0].as_py()
+        cols = [np.full(len(row), ds), task.astype(np.int32), kind.astype(np.int32), rec[row], w[row], names[at[row]], angle[row], plus]
+        return pa.table([*map(pa.array, cols), packed(raw[row])], names=list(_MET_TYPES)).cast(_MET_SCHEMA)
+
+    met = rows.groupBy("ds", "part").cogroup(_to_parts(model, sizes).groupBy("ds", "part")).applyInArrow(f, _MET)
+    task = F.explode(F.sequence(F.col("first"), F.col("first") + F.col("tasks") - 1)).alias("task")
+    none = {"kind": "0", "rec_id": "CAST(NULL AS long)", "w": "0L", "angle": "CAST(0 AS float)", "plus": "0L"}
+    there = model.select("ds", task, "cluster", F.col("centre").alias("vec")).withColumns({c: F.expr(e) for c, e in none.items()})
+    return met.unionByName(there)
+
+
+_MET_TYPES = {"ds": pa.int64(), "task": pa.int32(), "kind": pa.int32(), "rec_id": pa.int64(), "w": pa.int64(), "cluster": pa.int32(), "angle": pa.float32(), "plus": pa.int64(), "vec": pa.binary()}
+_MET_SCHEMA = pa.schema(list(_MET_TYPES.items()))
+
+
+def _checked(key: tuple, t: pa.Table) -> pa.Table:
+    """The exact check of one task's clusters: rows with neighbours, their number and local component."""
+    empty = pa.table({"ds": pa.array([], pa.int64()), "rec_id": pa.array([], pa.int64()), "comp": pa.array([], pa.string()), "degree": pa.array([], pa.float64()), "w": pa.array([], pa.int64())})
+    mark = t["rec_id"].is_null().to_numpy()
+    m = t.filter(pa.array(mark)).sort_by("cluster")
+    t = t.filter(pa.array(~mark)).sort_by("rec_id")
+    if not t.num_rows or not m.num_rows:
+        return empty
+    raw, rec, w, cluster, kind = matrix(t["vec"]), column(t, "rec_id"), column(t, "w"), column(t, "cluster"), column(t, "kind")
+    angle, plus = column(t, "angle"), column(t, "plus")
+    degree, comp = check(unit(raw), raw, w.astype(float), cluster, angle, kind, column(m, "cluster"), matrix(m["vec"]))
+    # a row counts its own copies and, if inner, the other inner rows of its cluster, once: at home
+    degree = degree + plus + np.where(kind == HOME, w - 1, 0)
+    inner = (kind == HOME) & (angle <= ALPHA / 2)
+    hit = np.flatnonzero(degree > 0)
+    if not len(hit):
+        return empty
+    # inner rows of a cluster are one component whatever the task
+    name = np.full(len(rec), -1, np.int64)
+    np.maximum.at(name, comp[inner], cluster[inner])
+    ds, task = key[0].as_py(), key[1].as_py()
+    names = [f"c{name[k]}" if name[k] >= 0 else f"{task}/{k}" for k in comp[hit].tolist()]
+    also = np.flatnonzero(inner & (name[comp] != cluster))  # another cluster's inner rows in the same component
+    names += [f"c{k}" for k in cluster[also].tolist()]
+    at = np.concatenate([hit, also])
+    return pa.table({"ds": np.full(len(at), ds), "rec_id": rec[at], "comp": pa.array(names, pa.string()), "degree": np.concatenate([degree[hit], np.zeros(len(also))]), "w": w[at]})
+
+
+def _divided(rows: DataFrame, sizes: DataFrame, parts: int, least: int, check_rows: int) -> DataFrame:
+    """Members of the groups of data sets of several parts. rows: (ds, rec_id, vec).
+
+    Copies are first one row with a weight, so that no task holds them all. Clusters come from trees a part, the tree reduction,
+    Ward and the assignment; each is then checked exactly. A component that stays in one cluster is that cluster's; components
+    that meet in a record (groups cut by the assignment) are joined. A group stands if each member has size - 1 neighbours.
+    """
+    copies = rows.groupBy("ds", "vec").agg(F.min("rec_id").alias("rec_id"), F.count("*").alias("w")).join(small(sizes), "ds")
+    reps = stage(copies.select("ds", F.pmod(F.xxhash64("vec"), "parts").cast("int").alias("part"), "rec_id", "w", "vec"), "distinct-vectors")
+    model = set_centres(reps, sizes, parts)
+    assigned = _assigned(reps, model, sizes)
+    model = _packed_clusters(assigned, model, check_rows)
+    found = stage(_met(assigned, model, sizes).groupBy("ds", "task").applyInArrow(_checked, _FOUND), "checked")
+    label = _components(found)
+    mine = found.groupBy("ds", "rec_id").agg(F.sum("degree").alias("degree"), F.max("w").alias("w"))
+    labelled = mine.join(label, ["ds", "rec_id"])
+    stats = labelled.groupBy("ds", "label").agg(F.sum("w").alias("size"), F.min("degree").alias("lo"), F.max("degree").alias("hi"), F.min("rec_id").alias("head_rec_id"))
+    good = stats.where((F.col("size") >= least) & (F.col("lo") == F.col("size") - 1) & (F.col("hi") == F.col("size") - 1))
+    grouped = labelled.join(good.select("ds", "label", "size", "head_rec_id"), ["ds", "label"]).select("ds", "rec_id", "head_rec_id", "size")
+    same = ["ds", "h1", "h2"]
+    hashes = [F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit("vec"), "vec").alias("h2")]
+    keyed = reps.select("ds", "rec_id", *hashes).join(grouped, ["ds", "rec_id"]).drop("rec_id")
+    return rows.select("ds", "rec_id", *hashes).join(keyed, same).select("ds", "head_rec_id", "rec_id", "size")
+
+
+def members(images: DataFrame, least: int = 3, part_rows: int = PART_ROWS, check_rows: int = CHECK_ROWS) -> DataFrame:
+    """(ds, head_rec_id, rec_id, size): members of every group of at least `least` records of one data set of which any two have
+    cosine >= TAU while every other record of the data set stays below TAU to all of them.
+
+    A null data set is one of its own; records without rec_id or usable embedding belong to no group; a record delivered twice
+    under one rec_id is one. Every data set is clustered the same way: cluster-feature trees, Ward on the leaves, assignment to
+    the nearest centre, exact check of the clusters with bounds from their centres. A data set of one part has one tree, built,
+    clustered and checked by one task; those of several parts go through the tree reduction (see _divided).
+    """
+    spark = images.sparkSession
+    of = F.coalesce(F.xxhash64("dataset"), F.lit(0).cast("long")).alias("ds")
+    rows = stage(vectors(images.where("rec_id IS NOT NULL").select(of, "rec_id", "emb"), ["ds", "rec_id"]).where("vec IS NOT NULL"), "vectors")
+    twice = rows.groupBy("rec_id").agg(F.count("*").alias("k")).where("k > 1")
+    if not twice.isEmpty():
+        rows = stage(rows.dropDuplicates(["ds", "rec_id"]), "vectors")
+    counts = stage(rows.groupBy("ds").agg(F.count("*").alias("n")).where(F.col("n") >= least), "set-sizes")
+    total, most = counts.agg(F.sum("n"), F.max("n")).first()
+    sizes = counts.where(F.col("n") > part_rows).select("ds", F.ceil(F.col("n") / part_rows).cast("int").alias("parts"))
+    one = rows.join(small(counts.where(F.col("n") <= part_rows).select("ds")), "ds", "left_semi")
+    out = _sets(one, total or 0, least)
+    if (most or 0) > part_rows:
+        divided = rows.join(small(sizes.select("ds")), "ds", "left_semi")
+        out = out.unionByName(_divided(divided, sizes, -(-most // part_rows), least, check_rows))
+    return out
+
+
+def groups(images: DataFrame, least: int = 3, part_rows: int = PART_ROWS, check_rows: int = CHECK_ROWS) -> DataFrame:
     """`members` with cos, each one's cosine to its group's centre, the sum of the unit vectors of all members."""
     of = F.coalesce(F.xxhash64("dataset"), F.lit(0).cast("long")).alias("ds")
     vecs = vectors(images.where("rec_id IS NOT NULL").select(of, "rec_id", "emb"), ["ds", "rec_id"]).where("vec IS NOT NULL")
-    rows = stage(vecs.join(members(images, least, set_rows, group_rows), ["ds", "rec_id"]).dropDuplicates(["ds", "rec_id"]), "group-vectors")
+    rows = stage(vecs.join(members(images, least, part_rows, check_rows), ["ds", "rec_id"]).dropDuplicates(["ds", "rec_id"]), "group-vectors")
 
     def unit_rows(t: pa.Table) -> np.ndarray:
         raw = matrix(t["vec"]).astype(np.float64)
@@ -377,44 +651,6 @@ def groups(images: DataFrame, least: int = 3, set_rows: int = SET_ROWS, group_ro
     return map_arrow(rows.join(centres, ["ds", "head_rec_id"]), cosines, "head_rec_id long, rec_id long, size long, cos double")
 
 
-def members(images: DataFrame, least: int = 3, set_rows: int = SET_ROWS, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(ds, head_rec_id, rec_id, size): members of every group of at least `least` records of one data set of which any two have
-    cosine >= TAU while every other record of the data set stays below TAU to all of them.
-
-    A null data set is one of its own; records without rec_id or usable embedding belong to no group. Data sets of up to SET_ROWS
-    rows are clustered by one task each; larger ones by cell, a record also visiting the cells in which it may have neighbours
-    (angle bounds), so that every pair is counted exactly once. Components that meet in a visiting record are joined, and a
-    group stands if each member has size - 1 neighbours.
-    """
-    spark = images.sparkSession
-    rows = images.where("rec_id IS NOT NULL").select(F.coalesce(F.xxhash64("dataset"), F.lit(0).cast("long")).alias("ds"), "rec_id", "emb")
-    counts = rows.groupBy("ds").agg(F.count("*").alias("n"))
-    big = stage(counts.where(F.col("n") > set_rows), "big-sets")
-    sized = rows.join(small(big), "ds", "left").withColumn("n", F.coalesce("n", F.lit(1).cast("long")))
-    total = rows.count()
-    sample = sample_rows(vectors(rows.select("rec_id", "emb"), ["rec_id"]), "vec", "rec_id")
-    plan = Layout.plan(sample, total, group_rows, group_rows)
-    plan.cells.radius = _radii(plan, sample)
-    layout = spark.sparkContext.broadcast(plan)
-    placed = _place(sized, layout, set_rows, group_rows).withColumn("bucket", F.pmod(F.xxhash64("ds", "at", "part"), F.lit(buckets(spark, total))))
-    found = stage(placed.groupBy("bucket").applyInArrow(_task, _FOUND), "groups")
-    label = _components(found)
-    mine = found.groupBy("ds", "rec_id").agg(F.sum("degree").alias("degree"))
-    labelled = mine.join(label, ["ds", "rec_id"])
-    stats = labelled.groupBy("ds", "label").agg(F.count("*").alias("size"), F.min("degree").alias("lo"), F.max("degree").alias("hi"), F.min("rec_id").alias("head_rec_id"))
-    good = stats.where((F.col("size") >= least) & (F.col("lo") == F.col("size") - 1) & (F.col("hi") == F.col("size") - 1))
-    return labelled.join(good.select("ds", "label", "size", "head_rec_id"), ["ds", "label"]).select("ds", "head_rec_id", "rec_id", "size")
-
-
-def _radii(plan: Layout, sample: np.ndarray) -> np.ndarray:
-    """Angle up to which a row belongs to its cell's core: that of the sample's farthest core row."""
-    radius = np.zeros(len(plan.cells.centres), np.float32)
-    if len(sample) and len(radius):
-        home, angle = plan.cells.assign(unit(sample))
-        np.maximum.at(radius, home[home >= 0], angle[home >= 0])
-    return radius
-
-
 def _components(found: DataFrame) -> DataFrame:
     """(ds, rec_id, label): components of records that share a local component, by exchanging least labels; only local
     components with a record that stands in several of them take part in the exchange."""

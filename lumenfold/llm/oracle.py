@@ -62,3 +62,11 @@ _GROUPS = f"""{_VEC}, e AS (SELECT a.rec_id AS a, b.rec_id AS b FROM v a JOIN v
 n AS (SELECT a, list(b ORDER BY b) AS near FROM e GROUP BY a),
 g AS (SELECT near FROM n GROUP BY near HAVING count(*) = len(near) AND count(*) >= 3)"""
 P2_FOUND = f"{_GROUPS} SELECT near[1] AS head_rec_id, unnest(near) AS rec_id FROM g"
+
+P2_CLUSTERS = f"""{_GROUPS}, m AS (SELECT near[1] AS head_rec_id, len(near)::BIGINT AS size, unnest(near) AS rec_id FROM g),
+u AS (SELECT m.*, list_transform(v.e, lambda x: x / sqrt(list_dot_product(v.e, v.e))) AS e FROM m JOIN v USING (rec_id)),
+d AS (SELECT head_rec_id, i, sum(e[i]) AS s FROM u, range(1, 65) t(i) GROUP BY head_rec_id, i),
+c AS (SELECT head_rec_id, list(s ORDER BY i) AS c FROM d GROUP BY head_rec_id),
+r AS (SELECT u.head_rec_id, size, rec_id, row_number() OVER (PARTITION BY u.head_rec_id
+      ORDER BY round(list_dot_product(u.e, c.c) / sqrt(list_dot_product(c.c, c.c)), 12) DESC, rec_id) AS k FROM u JOIN c USING (head_rec_id))
+SELECT head_rec_id, size, string_agg(rec_id::VARCHAR, ',' ORDER BY k) AS typical FROM r WHERE k <= 3 GROUP BY head_rec_id, size"""

@@ -89,7 +89,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.members(table(spark, sf_dir, "images")).select("head_rec_id", "rec_id")
 
 
-@LLM.add("p2_clusters")
+@LLM.add("p2_clusters", sql.P2_CLUSTERS)
 def p2_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Size and most typical members of every group."""
-    return clusters.describe(clusters.groups(table(spark, sf_dir, "images")))
+    """Size and most typical members of every group, best first."""
+    found = clusters.describe(clusters.groups(table(spark, sf_dir, "images")))
+    return found.select("head_rec_id", "size", F.array_join(F.col("typical").cast("array<string>"), ",").alias("typical"))

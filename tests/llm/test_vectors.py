@@ -162,12 +162,54 @@ def test_typical_members_are_nearest_to_the_groups_centre(spark, sizes):
 
 def test_tree_and_ward():
     x, _ = make(7)
-    x = x.astype(np.float32)
-    n, ls, ss = clusters.leaf_summaries(x, np.ones(len(x)))
-    assert n.sum() == pytest.approx(len(x)) and np.allclose(ls.sum(0), x.sum(0), atol=1e-3)
-    assert (ss / n - (ls * ls).sum(1) / n**2 <= clusters.LEAF_RADIUS**2 + 1e-6).all()
-    assert len(set(clusters.ward(n, ls).tolist())) < len(n)
-    assert clusters.ward(n[:1], ls[:1]).tolist() == [0]
+    x = np.concatenate([x.astype(np.float32), unit(np.random.default_rng(3).normal(size=(300, 64))).astype(np.float32)])
+    f = clusters.leaf_summaries(x, np.ones(len(x)))
+    assert f.n.sum() == pytest.approx(len(x)) and np.allclose(f.ls.sum(0), x.sum(0), atol=1e-3)
+    assert (f.ss / f.n - (f.ls * f.ls).sum(1) / f.n**2 <= clusters.LEAF_RADIUS**2 + 1e-6).all()
+    fine = clusters.CFTree(0.1)
+    fine.insert(clusters.Features.of_rows(x, np.ones(len(x))))
+    merged = clusters.ward(fine.leaves().n, fine.leaves().ls)
+    assert len(set(merged.tolist())) == len(f) < len(fine.leaves())  # Ward joins the leaves of each group
+    assert clusters.ward(f.n[:1], f.ls[:1]).tolist() == [0]
+    few = clusters.CFTree(max_leaves=40)  # too many leaves: the radius grows, nothing is lost
+    few.insert(clusters.Features.of_rows(x, np.ones(len(x))), 128)
+    g = few.leaves()
+    assert len(g) <= 40 and g.n.sum() == pytest.approx(len(x)) and np.allclose(g.ls.sum(0), x.sum(0), atol=1e-3)
+    a, b = clusters.CFTree(), clusters.CFTree()  # trees merge by their leaves
+    a.insert(clusters.Features.of_rows(x[::2], np.ones(len(x[::2]))))
+    b.insert(clusters.Features.of_rows(x[1::2], np.ones(len(x[1::2]))))
+    a.insert(b.leaves())
+    assert a.leaves().n.sum() == pytest.approx(len(x))
+
+
+def test_groups_stand_as_clusters():
+    """Nearly all groups are clusters of the method as they stand; wrong labels make the exact repair find them all."""
+    x, _ = make(21, groups=40, per=10, spread=0.05)
+    x = cells.unit(x)
+    rec = np.arange(len(x))
+    own = clusters.set_groups(x, x, rec)
+    assert len(own) >= 35 and np.mean([direct for _, direct in own]) >= 0.95
+
+    def wrong(u):
+        rng = np.random.default_rng(0)
+        c = cells.unit(rng.normal(size=(30, 64)).astype(np.float32))
+        return (*clusters.assign(u, c), c)
+
+    other = clusters.set_groups(x, x, rec, labels=wrong)
+    assert np.mean([direct for _, direct in other]) < 0.05
+    assert {tuple(sorted(g.tolist())) for g, _ in own} == {tuple(sorted(g.tolist())) for g, _ in other}
+
+
+def test_hot_group_of_a_divided_set(spark):
+    rng = np.random.default_rng(13)
+    c, d = unit(rng.normal(size=(2, 64)))
+    x = [c] * 150 + [unit(c + 0.03 * rng.normal(size=64)) for _ in range(60)] + [unit(d + 0.055 * rng.normal(size=64)) for _ in range(80)] + list(unit(rng.normal(size=(60, 64))))
+    rows = [(i, "big", f"k{i}", [float(e) for e in v], 1, 0) for i, v in enumerate(x)]
+    for sizes in ((40, 16), (40, 400)):
+        got = clusters.members(images(spark, rows), 3, *sizes)
+        assert {(r.head_rec_id, r.rec_id) for r in got.collect()} == brute_groups(rows)
+    same = [(i, "one", "k", rows[0][3], 1, 0) for i in range(100)]  # nothing but copies
+    assert clusters.members(images(spark, same), 3, 30, 10).count() == 100
 
 
 def test_bounds_hold():
