@@ -62,8 +62,10 @@ def test_repeats(spark, seed, monkeypatch):
     if seed == 2:
         monkeypatch.setattr(dedup, "PART_ROWS", 10)  # cells in several parts
         monkeypatch.setattr(dedup, "BLOCK_ROWS", 30)
+        monkeypatch.setattr(dedup, "GROUP_ROWS", 20)
+        monkeypatch.setattr(dedup, "MAX_DECIDE", 0)  # links decided in rounds
     rows = table(spark, seed)
-    got = {tuple(r) for r in dedup.repeats(images(spark, rows), 2).collect()}
+    got = {tuple(r) for r in dedup.repeats(images(spark, rows)).collect()}
     assert got == brute_repeats(rows)
 
 
@@ -73,11 +75,25 @@ def test_history_is_reopened(spark, tmp_path):
     sample = np.array([r[3] for r in rows if vector(r) is not None], np.float32)
     d = dedup.Deduplicator(spark, sample, len(rows), f"file://{tmp_path}/h")
     got = {tuple(r) for r in d.ingest(df.where("commit_id <= 3")).collect()}
-    again = dedup.Deduplicator.reopen(spark, f"file://{tmp_path}/h", len(rows))
+    again = dedup.Deduplicator.reopen(spark, f"file://{tmp_path}/h")
     assert again.history.batches == [0]
     got |= {tuple(r) for r in again.ingest(df.where("commit_id > 3")).collect()}
     assert got == brute_repeats(rows)
-    assert dedup.Deduplicator.reopen(spark, f"file://{tmp_path}/h", 1).history.batches == [0, 1]
+    assert dedup.Deduplicator.reopen(spark, f"file://{tmp_path}/h").history.batches == [0, 1]
+
+
+def test_history_outgrows_its_groups(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "GROUP_ROWS", 20)
+    rows = [r for r in table(spark, 6) if r[0] is not None]
+    df = dedup.ordered(images(spark, rows))
+    sample = np.array([r[3] for r in rows if vector(r) is not None], np.float32)
+    d = dedup.Deduplicator(spark, sample, 30)
+    small_groups = d.history.plan.groups
+    got = set()
+    for c in (None, 1, 2, 3, 4, 5, 6):
+        got |= {tuple(r) for r in d.ingest(df.where(F.col("commit_id") == (-(1 << 62) if c is None else c))).collect()}
+    assert got == brute_repeats(rows)
+    assert d.history.plan.groups > small_groups and d.history.plan.rows > 30  # dealt anew as it grew
 
 
 def test_repeats_hot_group(spark):
@@ -85,7 +101,7 @@ def test_repeats_hot_group(spark):
     c = unit(rng.normal(size=64))
     rows = [(i, "d", f"k{i}", [float(e) for e in (c if i % 2 else unit(c + 0.004 * rng.normal(size=64)))], 1 + i % 2, 0) for i in range(1500)]
     rows += [(5000 + i, "d", "same", [float(e) for e in unit(rng.normal(size=64))], 2, 0) for i in range(500)]
-    got = {tuple(r) for r in dedup.repeats(images(spark, rows), 2).collect()}
+    got = {tuple(r) for r in dedup.repeats(images(spark, rows)).collect()}
     assert got == brute_repeats(rows)
     assert dedup.repeats(images(spark, [])).count() == 0
 
@@ -99,12 +115,24 @@ def arc(seed, degrees):
 def ingested(spark, rows, centre, parts):
     """Pairs of one ingest a commit, over one cell in several parts."""
     d = dedup.Deduplicator(spark, np.zeros((0, 64), np.float32), len(rows))
-    layout = cells.Layout(cells.Cells(np.array([centre], np.float32), np.full(1, cells.CORE, np.float32)), np.array([parts]), 1)
-    d._open(d.history.path, layout, [], len(rows))
+    one = cells.Cells(np.array([centre], np.float32), np.full(1, cells.CORE, np.float32))
+    plan = dedup.Plan(one, np.array([0.5, 0.5]), len(rows), np.array([0, parts]), np.array([parts, 2]), parts + 2)
+    d._open(spark, d.history.path, plan, [], 0)
     df = dedup.ordered(images(spark, rows))
     return {tuple(r) for c in sorted({r[4] for r in rows}) for r in d.ingest(df.where(F.col("commit_id") == c)).collect()}
 
 
+def test_hot_group_of_near_copies_in_parts(spark):
+    # many rows near one another, none equal, over several parts: each lists only the first few and is looked at again
+    rng = np.random.default_rng(31)
+    c = unit(rng.normal(size=64))
+    near = [unit(c + 0.012 * rng.normal(size=64)) for _ in range(400)]
+    wide = [unit(c + 0.03 * rng.normal(size=64)) for _ in range(200)]
+    rows = [(i, "d", f"k{i % 350}", [float(e) for e in v], 1 + i % 2, 0) for i, v in enumerate(near + wide)]
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+    assert ingested(spark, rows, c, 5) == brute_repeats(rows)
+
+
 def test_split_cell_over_two_ingests(spark):
     # history at 0; rows at 10 repeat it, the one at 20 does not, rows at 12 repeat both (the cut is at 14.07 degrees)
     v = arc(5, [0] + [10] * 30 + [20] + [12] * 30)
