@@ -117,7 +117,7 @@ def ingested(spark, rows, centre, parts):
     d = dedup.Deduplicator(spark, np.zeros((0, 64), np.float32), len(rows))
     one = cells.Cells(np.array([centre], np.float32), np.full(1, cells.CORE, np.float32))
     plan = dedup.Plan(one, np.array([0.5, 0.5]), len(rows), np.array([0, parts]), np.array([parts, 2]), parts + 2)
-    d._open(spark, d.history.path, plan, [], 0)
+    d._open(spark, 0, plan)
     df = dedup.ordered(images(spark, rows))
     return {tuple(r) for c in sorted({r[4] for r in rows}) for r in d.ingest(df.where(F.col("commit_id") == c)).collect()}
 
