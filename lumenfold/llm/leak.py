@@ -47,14 +47,23 @@ def speech_words(text: str | None) -> list[str]:
 
 @dataclass(frozen=True)
 class ItemIndex:
-    """Inverted index of test items as impacts; rows of `impact` are terms, columns items in blocks."""
+    """Inverted index of test items: sparse postings by term, and the highest impact of each term in each block of BLOCK items.
+
+    Impacts are BM25 contributions divided by the least score of a passage that holds OVERLAP words of the item in a row, so
+    that 1 is the threshold of every item. Size: 12 bytes a posting and 12 a block posting; nothing is dense.
+    """
 
     ids: np.ndarray  # item ids
     vocab: dict[str, int]
-    impact: np.ndarray  # float32 [terms, items]: BM25 contribution of a term to an item
-    block_max: np.ndarray  # float32 [terms, blocks]
-    least: np.ndarray  # float32 [items]: lowest score of a passage that holds OVERLAP words in a row
-    block_least: np.ndarray  # float32 [blocks]
+    start: np.ndarray  # int64 [terms + 1]: postings of each term, by item
+    item: np.ndarray  # int32 [postings]
+    impact: np.ndarray  # float32 [postings]
+    key: np.ndarray  # int64 [postings]: term and item as one ascending number
+    block_start: np.ndarray  # the same for blocks, with the highest impact in each
+    block: np.ndarray
+    block_max: np.ndarray
+    block_key: np.ndarray
+    top: np.ndarray  # float32 [terms]: highest impact of all
     grams: dict[tuple, list[int]]  # run of OVERLAP term numbers -> items that hold it
 
     @staticmethod
@@ -69,27 +78,36 @@ class ItemIndex:
             raise ValueError(f"{len(vocab)} distinct words; the index holds at most {MAX_TERMS}")
         df = Counter(w for _, ws in docs for w in set(ws))
         mean = sum(len(ws) for _, ws in docs) / max(1, len(docs))
-        impact = np.zeros((len(vocab), len(docs)), np.float32)
-        least, grams = np.zeros(len(docs), np.float32), {}
+        posts, grams = [], {}
         for j, (_, ws) in enumerate(docs):
+            own = {}
             for w, tf in Counter(ws).items():
                 idf = math.log(1 + (len(docs) - df[w] + 0.5) / (df[w] + 0.5))
-                impact[vocab[w], j] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ws) / mean))
+                own[vocab[w]] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ws) / mean))
             t = [vocab[w] for w in ws]
             runs = {tuple(t[i : i + OVERLAP]) for i in range(len(t) - OVERLAP + 1)}
-            least[j] = min(sum(float(impact[k, j]) for k in set(r)) for r in runs) * (1 - 1e-4)
+            least = min(sum(own[k] for k in set(r)) for r in runs)
+            posts += [(k, j, v / least) for k, v in own.items()]
             for r in runs:
                 grams.setdefault(r, []).append(j)
-        starts = np.arange(0, len(docs), BLOCK)
-        block = lambda f, a, axis: f.reduceat(a, starts, axis=axis) if len(docs) else a
+        posts.sort()
+        term, item, impact = (np.array([p[c] for p in posts], kind) for c, kind in ((0, np.int64), (1, np.int32), (2, np.float32)))
+        starts = np.searchsorted(term, np.arange(len(vocab) + 1))
+        heads = np.flatnonzero(np.diff(term * (len(docs) + BLOCK) + item // BLOCK, prepend=-1)) if len(term) else np.empty(0, np.int64)
+        highest = np.maximum.reduceat(impact, heads) if len(heads) else impact
+        top = np.maximum.reduceat(impact, starts[:-1]) if len(vocab) else impact
         ids = np.array([i for i, _ in docs], np.int64)
-        return ItemIndex(ids, vocab, impact, block(np.maximum, impact, 1), least, block(np.minimum, least, 0), grams)
+        width, block = len(docs) + BLOCK, item[heads] // BLOCK
+        block_starts = np.searchsorted(term[heads], np.arange(len(vocab) + 1))
+        return ItemIndex(ids, vocab, starts, item, impact, term * width + item, block_starts, block, highest, term[heads] * width + block, top, grams)
 
     def search(self, docs: list[list[str]]) -> list[tuple[int, int]]:
-        """(document number, item number) of every overlap; all passages of the documents are scored together.
+        """(document number, item number) of every overlap; block-max WAND over many passages at once.
 
-        A block is skipped where the sum of its terms' highest impacts stays under the least score that any of its items
-        asks for; within the blocks left, every item that reaches its least score is retrieved, and its overlap verified.
+        A passage without OVERLAP index words in a row has no overlap. In the others, terms are taken by their highest impact:
+        those below the pivot cannot reach the threshold together, so only blocks with a term from the pivot on are looked at.
+        Of these, a block is skipped if its terms' highest impacts there stay under the threshold; in the blocks left every
+        item that reaches the threshold is retrieved, and its overlap verified.
         """
         if not len(self.ids):
             return []
@@ -97,28 +115,59 @@ class ItemIndex:
         terms = [np.array([number(w, -1) for w in d], np.int32) for d in docs]
         step, spans = PASSAGE - OVERLAP + 1, []
         for n, t in enumerate(terms):
-            spans += [(n, s) for s in range(0, max(1, len(t) - OVERLAP + 1), step) if len(t) >= OVERLAP]
+            if len(t) >= OVERLAP:
+                sums = np.concatenate([[0], np.cumsum(t >= 0)])
+                ends = np.flatnonzero(sums[OVERLAP:] - sums[:-OVERLAP] == OVERLAP)  # runs of OVERLAP index words start here
+                spans += [(n, s * step) for s in np.unique(ends // step).tolist()]
         found: set[tuple[int, int]] = set()
         runs: dict[int, dict[int, list[int]]] = {}
-        chunk = max(64, 8_000_000 // max(1, len(self.vocab)))
-        for at in range(0, len(spans), chunk):
-            part = spans[at : at + chunk]
-            inc = np.zeros((len(part), len(self.vocab) + 1), np.float32)
-            for r, (n, s) in enumerate(part):
-                inc[r, terms[n][s : s + PASSAGE]] = 1.0  # -1, a word of no item, is the last column
-            inc = inc[:, :-1]
-            bound = inc @ self.block_max >= self.block_least
-            for b in np.flatnonzero(bound.any(axis=0)):
-                rows = np.flatnonzero(bound[:, b])
-                cols = slice(b * BLOCK, (b + 1) * BLOCK)
-                for r, j in np.argwhere(inc[rows] @ self.impact[:, cols] >= self.least[cols]):
-                    (n, s), item = part[rows[r]], b * BLOCK + int(j)
-                    if n not in runs:
-                        runs[n] = self._runs(terms[n])
-                    if any(s <= i <= s + PASSAGE - OVERLAP for i in runs[n].get(item, ())):
-                        found.add((n, item))
+        for at in range(0, len(spans), 2048):
+            part = spans[at : at + 2048]
+            for p, item in self._retrieve(terms, part):
+                n, s = part[p]
+                if n not in runs:
+                    runs[n] = self._runs(terms[n])
+                if any(s <= i <= s + PASSAGE - OVERLAP for i in runs[n].get(item, ())):
+                    found.add((n, item))
         return sorted(found)
 
+    def _retrieve(self, terms: list[np.ndarray], spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """(passage, item) of every item that reaches the threshold in a passage."""
+        m = np.full((len(spans), PASSAGE), -1, np.int64)
+        for r, (n, s) in enumerate(spans):
+            t = terms[n][s : s + PASSAGE]
+            m[r, : len(t)] = t
+        m.sort(axis=1)
+        m[:, 1:][m[:, 1:] == m[:, :-1]] = -1  # a term counts once a passage
+        top = np.where(m >= 0, self.top[m], 0)
+        order = np.argsort(top, axis=1)
+        row = np.arange(len(m))[:, None]
+        m = m[row, order]
+        pivot = (np.cumsum(top[row, order], axis=1) >= 1 - 1e-4) & (m >= 0)
+        blocks = -(-len(self.ids) // BLOCK)
+        p, k = np.nonzero(pivot)
+        i, at = _ranges(self.block_start[m[p, k]], self.block_start[m[p, k] + 1])
+        pairs = np.unique(p[i] * blocks + self.block[at])
+        # the block's bound: highest impacts there of all terms of the passage
+        p, b = pairs // blocks, pairs % blocks
+        bound = np.zeros(len(p))
+        for c in range(PASSAGE):
+            lo, hi = self._within(m[p, c], b, b, self.block_key)
+            bound += np.where(hi > lo, self.block_max[np.minimum(lo, len(self.block_max) - 1)], 0)
+        p, b = p[bound >= 1 - 1e-4], b[bound >= 1 - 1e-4]
+        first = (b * BLOCK)[:, None]
+        i, at = _ranges(*self._within(m[p], first, first + BLOCK - 1, self.key))
+        score = np.bincount((i // PASSAGE) * BLOCK + self.item[at] % BLOCK, self.impact[at], len(p) * BLOCK)
+        hit = np.flatnonzero(score >= 1 - 1e-4)
+        return list(zip(p[hit // BLOCK].tolist(), (b[hit // BLOCK] * BLOCK + hit % BLOCK).tolist()))
+
+    def _within(self, t: np.ndarray, low: np.ndarray, high: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and end place, among the keys of each term t, of the numbers low..high; the same place twice if there is none."""
+        width = len(self.ids) + BLOCK
+        lo = np.searchsorted(keys, (t * width + low).ravel())
+        hi = np.searchsorted(keys, (t * width + high).ravel(), side="right")
+        return lo, np.where((t >= 0).ravel(), hi, lo)
+
     def _runs(self, t: np.ndarray) -> dict[int, list[int]]:
         """item -> places in a document where OVERLAP words of that item stand in a row."""
         sums = np.concatenate([[0], np.cumsum(t >= 0)])
@@ -130,6 +179,18 @@ class ItemIndex:
         return out
 
 
+def _usable(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        yield f[[bool(t) and len(words_of(_TAGS.sub("", t))) >= OVERLAP for t in f["item_text"]]]
+
+
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the range, place) for all places of the ranges lo..hi."""
+    n = hi - lo
+    i = np.repeat(np.arange(len(n)), n)
+    return i, np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+
+
 def leaks(docs: DataFrame, items: DataFrame, batch: int = 512) -> DataFrame:
     """(doc_id, item_id) of every document whose speech holds OVERLAP consecutive words of an item.
 
@@ -138,8 +199,10 @@ def leaks(docs: DataFrame, items: DataFrame, batch: int = 512) -> DataFrame:
     pairs once for each copy of the row only if ids repeat across batches, so pairs are made distinct at the end.
     """
     spark = docs.sparkSession
-    rows = items.where("item_id IS NOT NULL").select("item_id", "item_text").limit(MAX_ITEMS + 1).collect()
-    if len(rows) > MAX_ITEMS:  # before short items are left out, or items beyond the limit would not be searched
+    # only items of OVERLAP words and more can be met; they are told apart before the bound is asked, so that none is cut off
+    usable = items.where("item_id IS NOT NULL").select("item_id", "item_text").mapInPandas(_usable, "item_id long, item_text string")
+    rows = usable.limit(MAX_ITEMS + 1).collect()
+    if len(rows) > MAX_ITEMS:
         raise ValueError(f"over {MAX_ITEMS} items; the index holds at most {MAX_ITEMS}")
     index = spark.sparkContext.broadcast(ItemIndex.build([(r[0], r[1]) for r in rows]))
 

@@ -117,13 +117,16 @@ def plan_rates(sizes: DataFrame, targets: DataFrame, total_tokens: int | None =
 def mixture(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 7, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
     """(documents with their copies, report of the shares reached).
 
-    Documents without id, source target or tokens are not used. A source's token total in the mixture differs from its
+    Documents without id, source target or tokens are not used; rows of one doc_id count as one document. A source's token total in the mixture differs from its
     target by less than one of its documents: rounding moves token mass between documents and only the last residual of a
-    source is drawn alone. Every partition rounds its own rows and leaves at most one residual a source; residuals are
-    combined FAN_IN at a time, level by level, so neither a task nor the driver ever holds a source.
+    source is drawn alone. Every group of documents, dealt by hash of their id, is rounded in order of size and leaves at most
+    one residual a source; residuals are combined FAN_IN at a time, level by level, so neither a task nor the driver ever holds a source.
     """
     spark = docs.sparkSession
-    sizes = stage(token_counts(docs.where("doc_id IS NOT NULL"), tokenizer).where("n_tokens > 0 AND source IS NOT NULL"), "sizes")
+    counted = stage(token_counts(docs.where("doc_id IS NOT NULL"), tokenizer).where("n_tokens > 0 AND source IS NOT NULL"), "sizes")
+    sizes = counted.groupBy("doc_id").agg(F.min(F.struct("source", "n_tokens")).alias("d")).select("doc_id", "d.*")
+    if counted.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").isEmpty():
+        sizes = counted
     rates = plan_rates(sizes, targets, total_tokens)
     rate_of = spark.createDataFrame([(r["source"], r["rate"]) for r in rates], "source string, rate double")
     # groups by hash of the id, in order of size: the outcome depends on the documents and the seed, not on files or retries
@@ -131,20 +134,8 @@ def mixture(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None
     start = sizes.join(F.broadcast(rate_of), "source").select(
         F.col("doc_id").alias("ident"), "source", "n_tokens", F.floor("rate").cast("int").alias("base"), (F.col("rate") - F.floor("rate")).alias("p"), F.pmod(F.hash("doc_id"), F.lit(width)).alias("at")
     )
-    start = start.repartition(width, "at").sortWithinPartitions("at", "source", "n_tokens", "ident")
-
-    def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        carried = None
-        for f in frames:  # residuals run on from batch to batch
-            f = f if carried is None else pd.concat([carried, f], ignore_index=True)
-            f = _round_groups(f, seed)
-            rest = (f["p"] > 0) & (f["p"] < 1)
-            carried = f[rest].reset_index(drop=True)
-            yield f[~rest]
-        if carried is not None:
-            yield carried
-
-    done = stage(start.mapInPandas(first, _ROUNDED), "rounded")
+    rounded = start.groupBy("at").applyInPandas(lambda f: _round_groups(f.sort_values(["source", "n_tokens", "ident"], ignore_index=True), seed), _ROUNDED)
+    done = stage(rounded, "rounded")
     fractional = (F.col("p") > 0) & (F.col("p") < 1)
     parts, rest = [done.where(~fractional)], done.where(fractional)
     while width > 1:

@@ -3,16 +3,17 @@ the bounds leave open is compared exactly."""
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenfold.llm.cells import CORE, DIM, SLACK, Cells, _best, buckets, column, exact_cosine, map_arrow, matrix, packed, sample_rows, unit, vectors
-from lumenfold.session import small, stage
+from lumenfold.session import scratch_path, small, stage
 
 #: Codebooks, codewords of each, and partial codes kept while encoding.
 BOOKS, WORDS, BEAM = 8, 64, 4
@@ -140,12 +141,12 @@ class AdditiveIndex:
         return np.maximum(1, np.ceil(self.share * rows / CELL_ROWS)).astype(np.int64)
 
 
-_CODED = "rec_id long, key long, cell int, part int, code binary, norm float"
+_CODED = "rec_id long, key long, cell int, part int, code binary, norm float, vec binary"
 _ASKED = "q_id long, q_key long, cell int, part int, vec binary"
 
 
 def encode(vecs: DataFrame, index, rows: float) -> DataFrame:
-    """The searchable store: every usable row with its cell, codes and norm. Persist it to search without the vectors."""
+    """Every usable row with its cell, codes and norm, and its vector for reranking; a scan for scores reads only the first."""
 
     def f(t: pa.Table) -> pa.Table:
         ix: AdditiveIndex = index.value
@@ -158,7 +159,7 @@ def encode(vecs: DataFrame, index, rows: float) -> DataFrame:
         raw = np.ascontiguousarray(codes)
         offsets = np.arange(len(raw) + 1, dtype=np.int32) * BOOKS
         code = pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw.tobytes())])
-        return pa.table({"rec_id": ids, "key": column(t, "key"), "cell": cell.astype(np.int32), "part": part.astype(np.int32), "code": code, "norm": norms})
+        return pa.table({"rec_id": ids, "key": column(t, "key"), "cell": cell.astype(np.int32), "part": part.astype(np.int32), "code": code, "norm": norms, "vec": t["vec"]})
 
     return map_arrow(vecs.select("rec_id", "key", "vec"), f, _CODED)
 
@@ -168,6 +169,33 @@ def _mix(ids: np.ndarray) -> np.ndarray:
     return ((h >> np.uint64(33)).astype(np.int64))
 
 
+class Index:
+    """A persisted index: model and encoded rows in a shared folder. Built once, searched any number of times."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        """Opens the index at path."""
+        self.path = path
+        self.model, self.rows = pickle.loads(bytes(spark.read.parquet(f"{path}/model").first()[0]))
+        self.store = spark.read.schema(_CODED).parquet(f"{path}/rows")
+
+    @staticmethod
+    def build(vecs: DataFrame, path: str | None = None) -> Index:
+        """Fits the model on a bounded sample of vecs (rec_id, key, vec), encodes all rows and writes both to path."""
+        spark = vecs.sparkSession
+        path = path or scratch_path(spark, "index")
+        rows = vecs.count()
+        model = AdditiveIndex.fit(sample_rows(vecs, "vec", "rec_id"))
+        coded = encode(vecs, spark.sparkContext.broadcast(model), rows)
+        coded.sortWithinPartitions("cell").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/rows")
+        one = spark.createDataFrame([(bytearray(pickle.dumps((model, rows))),)], "model binary")
+        one.coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
+        return Index(spark, path)
+
+    def search(self, queries: DataFrame, k: int = 5) -> DataFrame:
+        """See `nearest`."""
+        return _search(self, queries, k)
+
+
 def nearest(vecs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(q_id, rec_id, cosine, rank): for every query the k rows of highest cosine with another key.
 
@@ -176,9 +204,13 @@ def nearest(vecs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     query are reranked in double precision; the k-th cosine found bounds the cells that may hold better rows (all of them for
     most queries that resemble no centre), and these are compared exactly. Ties go to the smaller rec_id.
     """
-    spark = vecs.sparkSession
-    rows, keep = vecs.count(), RERANK * k
-    index = spark.sparkContext.broadcast(AdditiveIndex.fit(sample_rows(vecs, "vec", "rec_id")))
+    return Index.build(vecs).search(queries, k)
+
+
+def _search(built: Index, queries: DataFrame, k: int) -> DataFrame:
+    spark = queries.sparkSession
+    rows, keep = built.rows, RERANK * k
+    index = spark.sparkContext.broadcast(built.model)
 
     def ask(t: pa.Table) -> pa.Table:
         ix: AdditiveIndex = index.value
@@ -217,7 +249,7 @@ def nearest(vecs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         return pa.table({"q_id": cat(out_q, np.int64), "rec_id": cat(out_r, np.int64), "score": cat(out_s, np.float32)})
 
     bucket = F.pmod(F.xxhash64("cell", "part"), F.lit(buckets(spark, rows))).alias("bucket")
-    store = encode(vecs, index, rows).withColumn("bucket", bucket)
+    store = built.store.select("rec_id", "key", "cell", "part", "code", "norm", bucket)
     asked = map_arrow(queries.select("rec_id", "key", "vec"), ask, _ASKED).withColumn("bucket", bucket)
     scanned = store.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(scan, "q_id long, rec_id long, score float")
     best = Window.partitionBy("q_id").orderBy(F.desc("score"), "rec_id")
@@ -227,7 +259,7 @@ def nearest(vecs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         return t.select(["q_id", "rec_id"]).append_column("cosine", pa.array(exact_cosine(matrix(t["q_vec"]), matrix(t["vec"]))))
 
     theirs = small(queries.select(F.col("rec_id").alias("q_id"), F.col("vec").alias("q_vec")), 20_000)
-    pairs = vecs.select("rec_id", "vec").join(small(candidates, 1_000_000), "rec_id").join(theirs, "q_id")
+    pairs = built.store.select("rec_id", "vec").join(small(candidates, 1_000_000), "rec_id").join(theirs, "q_id")
     exact = map_arrow(pairs, rerank, "q_id long, rec_id long, cosine double")
     final = Window.partitionBy("q_id").orderBy(F.desc("cosine"), "rec_id")
     first = stage(exact.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).drop("rank"), "first")
@@ -246,12 +278,6 @@ def nearest(vecs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
                 cols = {"q_id": column(t, "rec_id")[i], "q_key": column(t, "key")[i], "kth": kth[i], "cell": c.astype(np.int32), "part": part.astype(np.int32), "vec": packed(raw[i])}
                 yield from pa.table(cols).to_batches()
 
-    def place(t: pa.Table) -> pa.Table:
-        ix: AdditiveIndex = index.value
-        cell, _ = _best(unit(matrix(t["vec"])), ix.cells.centres)
-        part = _mix(column(t, "rec_id")) % ix.salts(rows)[cell]
-        return pa.table({"rec_id": t["rec_id"], "key": t["key"], "cell": cell.astype(np.int32), "part": part.astype(np.int32), "vec": t["vec"]})
-
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         out_q, out_r, out_c = [], [], []
         if left.num_rows and right.num_rows:
@@ -282,7 +308,7 @@ def nearest(vecs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     kth = first.groupBy(F.col("q_id").alias("rec_id")).agg(F.when(F.count("*") >= k, F.min("cosine")).alias("kth"))
     bounded = queries.select("rec_id", "key", "vec").join(small(kth), "rec_id", "left").withColumn("kth", F.coalesce("kth", F.lit(-1.0)))
     still = bounded.mapInArrow(ask_open, "q_id long, q_key long, kth double, cell int, part int, vec binary").withColumn("bucket", bucket)
-    placed = map_arrow(vecs.select("rec_id", "key", "vec"), place, "rec_id long, key long, cell int, part int, vec binary").withColumn("bucket", bucket)
+    placed = built.store.select("rec_id", "key", "cell", "part", "vec", bucket)
     rest = placed.groupBy("bucket").cogroup(still.groupBy("bucket")).applyInArrow(compare, "q_id long, rec_id long, cosine double")
     both = first.unionByName(rest).groupBy("q_id", "rec_id").agg(F.max("cosine").alias("cosine"))
     return both.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k)
@@ -296,6 +322,12 @@ def image_vectors(images: DataFrame) -> DataFrame:
     return stage(rows.where("vec IS NOT NULL"), "vectors")
 
 
+def every_twentieth(images: DataFrame, k: int = 5) -> DataFrame:
+    """Neighbours of every record whose rec_id is divisible by 20, among all records."""
+    vecs = image_vectors(images)
+    return nearest(vecs, stage(vecs.where("rec_id % 20 = 0"), "queries"), k)
+
+
 def probe_neighbours(images: DataFrame, probes: DataFrame, k: int = 5) -> DataFrame:
     """Neighbours of the records named by probes. Probes without a usable record have none."""
     vecs = image_vectors(images)

@@ -56,6 +56,10 @@ P3_FOUND = f"""{_VEC}, q AS (SELECT v.* FROM v JOIN (SELECT DISTINCT rec_id FROM
 s AS (SELECT q.rec_id AS a, v.rec_id AS b, list_cosine_similarity(q.e, v.e) AS c FROM q JOIN v ON q.key <> v.key),
 r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS k FROM s)
 SELECT DISTINCT least(a, b) AS rec_a, greatest(a, b) AS rec_b FROM r WHERE k <= 5"""
+P3_NEIGHBOURS = f"""{_VEC}, q AS (SELECT * FROM v WHERE rec_id % 20 = 0),
+s AS (SELECT q.rec_id AS q_id, v.rec_id, list_cosine_similarity(q.e, v.e) AS c FROM q JOIN v ON q.rec_id <> v.rec_id AND q.key IS DISTINCT FROM v.key),
+r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY round(c, 12) DESC, rec_id) AS rank FROM s)
+SELECT q_id, rec_id, rank::INT AS rank, round(c, 6) AS cosine FROM r WHERE rank <= 5"""
 
 _GROUPS = f"""{_VEC}, e AS (SELECT a.rec_id AS a, b.rec_id AS b FROM v a JOIN v b ON a.dataset IS NOT DISTINCT FROM b.dataset
     WHERE list_cosine_similarity(a.e, b.e) >= 0.73 OR a.rec_id = b.rec_id),

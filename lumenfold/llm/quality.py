@@ -6,12 +6,13 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.session import stage
 
-#: Labelled documents that a rule list is fitted on, at most: those of smallest xxhash64(doc_id).
+#: Labelled documents that a rule list is first fitted on, and that each later round may add, at most.
 FIT_ROWS = 20_000
 #: A word list larger than this is refused: it is compiled into the plan as a hash set.
 MAX_WORDS = 20_000
@@ -207,11 +208,28 @@ def case_sql(rules: list[list[Condition]]) -> str:
     return f"CASE {whens} ELSE 0 END" if rules else "0"
 
 
-def fit_rules(stats: DataFrame, label: Column, ident: str = "doc_id", features: list[str] = FEATURES, fit_rows: int = FIT_ROWS) -> list[list[Condition]]:
-    """Learns a rule list for `label` (null counts as false) from at most fit_rows documents."""
-    rows = stats.select(F.xxhash64(ident).alias("h"), F.coalesce(label, F.lit(False)).alias("y"), *[F.col(c).cast("double") for c in features])
-    pdf = rows.orderBy("h").limit(fit_rows).toPandas()
-    return irep(pdf[features].to_numpy(np.float64, na_value=np.nan), pdf["y"].to_numpy(bool), features)
+def fit_rules(stats: DataFrame, label: Column, ident: str = "doc_id", features: list[str] = FEATURES, fit_rows: int = FIT_ROWS) -> tuple[list[list[Condition]], DataFrame]:
+    """(rule list for `label` (null counts as false), stats with the number of the rule that caught each row as `rule`).
+
+    The list is learned from at most fit_rows documents: those under a threshold on the hash of their id, set from the count.
+    Then all documents are gone through: labelled ones that no rule catches join the sample, fit_rows at most, and the list is
+    learned anew, until none is missed or the last round brought no progress; what is missed then is rule -1, so it is not lost.
+    """
+    h = F.pmod(F.xxhash64(ident), F.lit(1 << 30))
+    rows = stats.select(ident, h.alias("h"), F.coalesce(label, F.lit(False)).alias("y"), *[F.col(c).cast("double").alias(c) for c in features])
+    n = stats.count()
+    sample = rows.where(F.col("h") < int((1 << 30) * min(1.0, fit_rows / max(1, n)))).limit(fit_rows + fit_rows // 8)
+    fit, missed = sample.toPandas(), None
+    while True:
+        rules = irep(fit[features].to_numpy(np.float64, na_value=np.nan), fit["y"].to_numpy(bool), features)
+        caught = F.expr(case_sql(rules))
+        lost = rows.where("y").where(caught == 0)
+        before, missed = missed, lost.count()
+        if not missed or (before is not None and missed >= before):
+            break
+        more = lost.where(F.col("h") < int((1 << 30) * min(1.0, fit_rows / missed))).limit(fit_rows).toPandas()
+        fit = pd.concat([fit, more]).drop_duplicates(ident, ignore_index=True)
+    return rules, stats.withColumn("rule", F.when((caught == 0) & F.coalesce(label, F.lit(False)), -1).otherwise(caught))
 
 
 def junk_documents(docs: DataFrame, common_words: DataFrame) -> tuple[DataFrame, list[list[Condition]]]:
@@ -221,5 +239,5 @@ def junk_documents(docs: DataFrame, common_words: DataFrame) -> tuple[DataFrame,
     """
     words = [r[0] for r in common_words.where("word IS NOT NULL").select(F.lower("word")).distinct().limit(MAX_WORDS + 1).collect()]
     stats = stage(text_stats(docs, words), "text-stats")
-    rules = fit_rules(stats, not_speech())
-    return stats.withColumn("rule", F.expr(case_sql(rules))), rules
+    rules, ruled = fit_rules(stats, not_speech())
+    return ruled, rules

@@ -39,9 +39,10 @@ def p5_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @LLM.add("p8_found", sql.P8_FOUND)
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that are not natural speech: caught by the learned rules, then held against the definition."""
+    """Documents that are not natural speech: caught by the learned rules (or, marked -1, by none of them), then held against the
+    definition."""
     caught, _ = quality.junk_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"))
-    return caught.where("rule > 0").where(quality.not_speech()).select("doc_id")
+    return caught.where("rule <> 0").where(quality.not_speech()).select("doc_id")
 
 
 @LLM.add("p8_stats", sql.P8_STATS)
@@ -76,6 +77,13 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.least("q_id", "rec_id").alias("rec_a"), F.greatest("q_id", "rec_id").alias("rec_b")).distinct()
 
 
+@LLM.add("p3_neighbours", sql.P3_NEIGHBOURS)
+def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most similar records of every record whose rec_id is divisible by 20, those that resemble no other included."""
+    near = neighbours.every_twentieth(table(spark, sf_dir, "images"))
+    return near.select("q_id", "rec_id", F.col("rank").cast("int").alias("rank"), F.round("cosine", 6).alias("cosine"))
+
+
 @LLM.add("p1_found")
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeats with the accepted records they repeat, as pairs."""

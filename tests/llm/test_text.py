@@ -119,3 +119,23 @@ def test_items_beyond_the_bound_are_refused_though_some_are_short(spark, monkeyp
     items = spark.createDataFrame([(1, "short"), (2, "i j k l m n o p"), (3, "q r s t u v w x"), (4, "a b c d e f g h")], "item_id long, item_text string").coalesce(1)
     with pytest.raises(ValueError):
         leak.leaks(docs, items).count()
+
+
+def test_short_items_do_not_count_against_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(leak, "MAX_ITEMS", 20)
+    words = [chr(97 + i // 26) + chr(97 + i % 26) + "x" for i in range(400)]
+    long_ = [(i, " ".join(words[i * 17 : i * 17 + 12])) for i in range(20)]
+    items = spark.createDataFrame([(1000 + i, "too short") for i in range(60)] + long_, "item_id long, item_text string").coalesce(1)
+    rows = [(i, "before all " + t + " and after", "s") for i, t in long_]
+    assert {tuple(r) for r in leak.leaks(docs(spark, rows), items).collect()} == {(i, i) for i in range(20)}
+
+
+def test_rules_miss_no_labelled_document(spark):
+    rng = np.random.default_rng(4)
+    x = rng.random((3000, 6))
+    x[:, 0] = rng.integers(0, 50, 3000)
+    stats = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "doc_id long, " + ", ".join(f"{c} double" for c in quality.FEATURES))
+    label = (F.col("common_share") < 0.03) | (F.col("mean_word_len") > 0.99) | ((F.col("n_words") == 7) & (F.col("end_share") < 0.4))
+    rules, ruled = quality.fit_rules(stats, label, fit_rows=150)  # rare kinds are not in the first sample
+    assert ruled.where(label).where("rule = 0").count() == 0 and len(rules) >= 2
+    assert ruled.where("rule = -1").count() <= 3
