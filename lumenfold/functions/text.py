@@ -10,7 +10,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that carry no content in a query.
-STOP_WORDS = ["a", "an", "and", "at", "by", "for", "from", "in", "is", "of", "on", "or", "the", "to", "with"]
+STOP_WORDS = [
+    "a", "an", "the", "my", "your", "his", "her", "its", "their", "of", "in", "on", "at", "to", "for", "with",
+    "and", "or", "is", "are", "was", "were", "be", "some", "this", "that", "these", "those", "there", "photo", "picture", "image",
+]
 
 
 def tokens(text: Column) -> Column:
@@ -28,17 +31,27 @@ def is_compound(text: Column) -> Column:
     return F.size(content_tokens(text)) > 2
 
 
+def content_words(query: str) -> list[str]:
+    """`content_tokens` of a query on the driver."""
+    return [w for w in re.findall("[a-z0-9]+", query.lower()) if w not in STOP_WORDS]
+
+
+def is_compound_text(query: str) -> bool:
+    """`is_compound` of a query on the driver."""
+    return len(content_words(query)) > 2
+
+
 def split_terms(query: str) -> list[tuple[str, bool]]:
-    """(term, quoted) of a query: quoted phrases whole, the rest by content words; of stop words only, one phrase."""
+    """(term, quoted) of a query in order: quoted phrases whole, lower-cased, blanks squeezed; the rest by content words. A query
+    without any is one phrase."""
     out: list[tuple[str, bool]] = []
-    for phrase, rest in re.findall(r'"([^"]*)"|([^"]+)', query):
-        if phrase.strip():
-            out.append((" ".join(re.findall(r"[a-z0-9]+", phrase.lower())), True))
-        out += [(w, False) for w in re.findall(r"[a-z0-9]+", rest.lower()) if w not in STOP_WORDS]
-    out = [t for t in out if t[0]]
-    if not out and query.strip():
-        out = [(" ".join(re.findall(r"[a-z0-9]+", query.lower())), True)]
-    return list(dict.fromkeys(out))
+    for n, part in enumerate(re.sub(r'"([^"]*)"', "\x00\\1\x00", query).split("\x00")):
+        if n % 2 == 0:
+            out += [(w, False) for w in content_words(part)]
+        elif part.strip():
+            out.append((" ".join(part.lower().split()), True))
+    whole = " ".join(query.lower().split())
+    return out or ([(whole, True)] if whole else [])
 
 
 def segment(words: list[str], vocabulary: set[str], longest: int = 3) -> list[str] | None:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenfold.session import small
+
 #: Equal parts of 0..1 that running counts are first taken over; rows are then ranked within a part only.
 BINS = 1024
 
@@ -85,8 +87,8 @@ def prf(scored: DataFrame, by: list[str], tau: Column | float, p: str = "p", y:
 
 def retrieval_ranks(queries: DataFrame, scores: DataFrame) -> DataFrame:
     """Rank of each query's own item: how many items score strictly higher. scores: (q, id, s); queries: (q, target)."""
-    own = scores.join(F.broadcast(queries), (scores["q"] == queries["q"]) & (scores["id"] == queries["target"])).select(scores["q"], F.col("s").alias("own"))
-    return scores.join(F.broadcast(own), "q").groupBy("q").agg(F.count_if(F.col("s") > F.col("own")).alias("rank"))
+    own = scores.join(small(queries), (scores["q"] == queries["q"]) & (scores["id"] == queries["target"])).select(scores["q"], F.col("s").alias("own"))
+    return scores.join(small(own), "q").groupBy("q").agg(F.count_if(F.col("s") > F.col("own")).alias("rank"))
 
 
 def histogram(df: DataFrame, value: str, edges: list[float], by: list[str]) -> DataFrame:

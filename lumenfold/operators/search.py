@@ -2,22 +2,42 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions.calib import KEEP_COS, STD_FLOOR, UNFITTED_EFF, platt, text_p
-from lumenfold.functions.vector import dot
+from lumenfold.functions.vector import products
+from lumenfold.session import small
+
+
+#: Vectors of a bank that is multiplied with every item; more are refused.
+MAX_BANK = 20_000
+
+
+def bank_of(tags: DataFrame, *names: str) -> tuple[list, np.ndarray]:
+    """(rows of names, matrix of the vectors c), gathered: a bank of at most MAX_BANK vectors, refused beyond."""
+    rows = tags.select(*names, "c").orderBy(*names).limit(MAX_BANK + 1).collect()
+    if len(rows) > MAX_BANK:
+        raise ValueError(f"over {MAX_BANK} vectors in a bank")
+    return [tuple(r)[:-1] for r in rows], np.array([r["c"] for r in rows], np.float64).reshape(len(rows), -1)
 
 
 def score_tags(items: DataFrame, tags: DataFrame) -> DataFrame:
-    """Items against every candidate tag: (id, ds, idx, cos). tags is the small side and is broadcast."""
-    return items.crossJoin(F.broadcast(tags)).select("id", "ds", "idx", dot("e", "c").alias("cos"))
+    """Items against every candidate tag: (id, ds, idx, cos), by one matrix product a batch."""
+    names, bank = bank_of(tags, "idx")
+    if not names:
+        return items.select("id", "ds", F.lit(0).alias("idx"), F.lit(0.0).alias("cos")).limit(0)
+    s = products(items, ["id", "ds"], "e", bank)
+    kind = tags.schema["idx"].dataType
+    idx = F.array(*[F.lit(n[0]).cast(kind) for n in names])
+    return s.select("id", "ds", F.explode(F.arrays_zip(idx.alias("idx"), "cos")).alias("s")).select("id", "ds", "s.idx", "s.cos")
 
 
 def calibrate(scores: DataFrame, fits: DataFrame) -> DataFrame:
     """Adds p and eff of each (item, tag): fitted tags by Platt with threshold tau (0.5 if null, raised to the corpus mean + 3 std
     where statistics exist); others by the raw-cosine logistic with a threshold that never fires."""
-    s = scores.join(F.broadcast(fits), "idx", "left")
+    s = scores.join(small(fits), "idx", "left")
     fitted = F.col("a").isNotNull()
     return s.select(
         "id", "ds", "idx", "cos", fitted.alias("fitted"),
@@ -45,7 +65,7 @@ def corpus_z(scores: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Adds z of value within each group: population standard deviation, floored at 1e-6. The statistics are one small
     aggregate, joined back; the rows themselves are not shuffled into one window."""
     stats = scores.groupBy(*by).agg(F.avg(value).alias("__m"), F.stddev_pop(value).alias("__s"))
-    joined = scores.join(F.broadcast(stats), by) if by else scores.crossJoin(F.broadcast(stats))
+    joined = scores.join(small(stats), by) if by else scores.crossJoin(F.broadcast(stats))  # one row
     return joined.withColumn("z", (F.col(value) - F.col("__m")) / F.greatest(F.col("__s"), F.lit(STD_FLOOR))).drop("__m", "__s")
 
 

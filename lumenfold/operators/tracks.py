@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions.calib import MARGIN_FLOOR, STD_FLOOR, TIERS, Z_FIRE, clean_score, sigmoid, tier_rank, z_p
-from lumenfold.functions.vector import dot
+from lumenfold.functions.vector import dot, rows_of
+from lumenfold.operators.search import bank_of
+from lumenfold.session import small
 
 
 def clean_tracks(tracks: DataFrame) -> DataFrame:
@@ -23,10 +25,10 @@ def clean_tracks(tracks: DataFrame) -> DataFrame:
 
 
 def bank_scores(items: DataFrame, concepts: DataFrame) -> DataFrame:
-    """Best and mean cosine of each item to each role's concepts: (id, ds, category, role, best, mean). One broadcast of the bank;
-    the product of items and concepts is aggregated map-side and never shuffled whole."""
-    s = items.crossJoin(F.broadcast(concepts)).select("id", "ds", "category", "role", dot("e", "c").alias("cos"))
-    return s.groupBy("id", "ds", "category", "role").agg(F.max("cos").alias("best"), F.avg("cos").alias("mean"))
+    """Best and mean cosine of each item to each role's concepts: (id, ds, category, role, best, mean). The bank is gathered, at
+    most MAX_BANK vectors, and multiplied with whole batches of items."""
+    names, bank = bank_of(concepts, "category", "role", "idx")
+    return bank_scores_batched(items, [n[:2] for n in names], bank)
 
 
 def bank_scores_batched(items: DataFrame, names: list[tuple[str, str]], bank: np.ndarray) -> DataFrame:
@@ -39,16 +41,17 @@ def bank_scores_batched(items: DataFrame, names: list[tuple[str, str]], bank: np
     spark = items.sparkSession
     shared = spark.sparkContext.broadcast(bank.astype(np.float64))
 
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            if not len(f):
-                continue
-            c = np.stack(f["e"].to_numpy()) @ shared.value.T
-            for k, (category, role) in enumerate(slots):
-                own = c[:, at == k]
-                yield pd.DataFrame({"id": f["id"], "ds": f["ds"], "category": category, "role": role, "best": own.max(1), "mean": own.mean(1)})
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                c = rows_of(b.column(2)) @ shared.value.T
+                for k, (category, role) in enumerate(slots):
+                    own = c[:, at == k]
+                    word = [pa.repeat(pa.scalar(w, pa.string()), b.num_rows) for w in (category, role)]
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *word, pa.array(own.max(1)), pa.array(own.mean(1))], names=["id", "ds", "category", "role", "best", "mean"])
 
-    return items.select("id", "ds", "e").mapInPandas(score, "id long, ds int, category string, role string, best double, mean double")
+    kinds = ", ".join(f"{c} {items.schema[c].dataType.simpleString()}" for c in ("id", "ds"))
+    return items.select("id", "ds", "e").mapInArrow(score, f"{kinds}, category string, role string, best double, mean double")
 
 
 def margins(bank: DataFrame, form: str = "max") -> DataFrame:
@@ -65,7 +68,7 @@ def derive_unfitted(margin: DataFrame) -> DataFrame:
     """Tier of each item and category without a fit: z of each role's margin within the data set, logistic, the role that exceeds
     its firing point most (first in severity on ties); it fires only with an absolute margin of MARGIN_FLOOR as well."""
     stats = margin.groupBy("ds", "category", "role").agg(F.avg("margin").alias("m"), F.greatest(F.stddev_pop("margin"), F.lit(STD_FLOOR)).alias("s"))
-    j = margin.join(F.broadcast(stats), ["ds", "category", "role"])
+    j = margin.join(small(stats), ["ds", "category", "role"])
     p = z_p((F.col("margin") - F.col("m")) / F.col("s"))
     over = F.struct((p - z_p(F.lit(Z_FIRE))).alias("over"), (-tier_rank(F.col("role"))).alias("o"), F.col("role").alias("role"), p.alias("p"), F.col("margin").alias("margin"))
     best = j.groupBy("id", "ds", "category").agg(F.max(over).alias("b"))
@@ -110,13 +113,13 @@ def overlay(layers: list[DataFrame], keys: list[str], values: list[str]) -> Data
     out = layers[0]
     for layer in layers[1:]:
         new = layer.select(*keys, *[F.col(v).alias(f"__{v}") for v in values])
-        out = out.join(F.broadcast(new), keys, "left").select(*keys, *[F.coalesce(f"__{v}", v).alias(v) for v in values])
+        out = out.join(small(new), keys, "left").select(*keys, *[F.coalesce(f"__{v}", v).alias(v) for v in values])
     return out
 
 
 def head_score(items: DataFrame, weights: DataFrame) -> DataFrame:
     """Linear head: dot(weights, e) + b per item and head."""
-    return items.crossJoin(F.broadcast(weights)).withColumn("raw", dot("e", "w") + F.col("b"))
+    return items.crossJoin(small(weights, 1_000)).withColumn("raw", dot("e", "w") + F.col("b"))
 
 
 def margin_probability(m: Column) -> Column:

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from lumenfold.registry import CORE, Registry
 
-MODULES = ("search", "tracks", "quality", "ingest", "storage")
+MODULES = ("search", "tracks", "quality", "ingest", "storage", "finder")
 
 
 def load_core() -> Registry:

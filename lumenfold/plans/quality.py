@@ -12,7 +12,7 @@ from lumenfold.operators.catalog import items, tag_vectors
 from lumenfold.operators.search import score_tags
 from lumenfold.plans.search import CENTROIDS, SIG, U
 from lumenfold.registry import CORE
-from lumenfold.session import table
+from lumenfold.session import small, table
 
 SCORED = f"""{CENTROIDS}, sc AS (SELECT u.id, c.idx AS tag, {SIG.format("10 * list_dot_product(u.e, c.c) - 3")} AS p, (u.label = c.idx)::INT AS y FROM u, c)"""
 CURVE = f"""{SCORED}, cv AS (SELECT *, row_number() OVER w AS rn, sum(y) OVER w AS tp, count(*) OVER (PARTITION BY tag) AS n, sum(y) OVER (PARTITION BY tag) AS pos FROM sc
@@ -84,7 +84,7 @@ def recall_at_fpr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall at two per cent false positives, the quantile interpolated."""
     s = _scored(spark, sf_dir)
     t = s.where("y = 0").groupBy("tag").agg(F.expr("percentile(p, 0.98)").alias("t"))
-    j = s.where("y = 1").join(F.broadcast(t), "tag").groupBy("tag", "t").agg(F.avg((F.col("p") >= F.col("t")).cast("int")).alias("recall"))
+    j = s.where("y = 1").join(small(t), "tag").groupBy("tag", "t").agg(F.avg((F.col("p") >= F.col("t")).cast("int")).alias("recall"))
     return j.select("tag", F.round("t", 6).alias("tau"), _r("recall"))
 
 
@@ -200,7 +200,7 @@ def best_tau_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _scored(spark, sf_dir)
     arr = ", ".join(str(round(i / 100, 2)) for i in range(1, 100))
     taus = s.groupBy("tag").agg(F.array_distinct(F.expr(f"percentile(p, array({arr}))")).alias("taus"))
-    j = s.join(F.broadcast(taus), "tag").select("tag", "p", "y", F.explode("taus").alias("tau"))
+    j = s.join(small(taus), "tag").select("tag", "p", "y", F.explode("taus").alias("tau"))
     c = j.groupBy("tag", "tau").agg(F.count_if((F.col("p") >= F.col("tau")) & (F.col("y") == 1)).alias("tp"), F.count_if(F.col("p") >= F.col("tau")).alias("h"), F.sum("y").alias("pos"))
     return c.groupBy("tag").agg(F.round(F.max(2 * F.col("tp") / F.greatest(F.col("h") + F.col("pos"), F.lit(1))), 6).alias("f1"))
 
@@ -223,7 +223,7 @@ def precision_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _ranked(spark, sf_dir)
     n = items(spark, sf_dir).groupBy(F.col("label").alias("q")).agg(F.count("*").alias("n_pos"))
     top = s.withColumn("rn", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "id"))).where("rn <= 10")
-    p = top.join(F.broadcast(n), "q").where("rn <= least(10, n_pos)").groupBy("q").agg(F.avg((F.col("label") == F.col("q")).cast("int")).alias("p"))
+    p = top.join(small(n), "q").where("rn <= least(10, n_pos)").groupBy("q").agg(F.avg((F.col("label") == F.col("q")).cast("int")).alias("p"))
     return p.select("q", F.round("p", 6).alias("p_at_k"), (F.col("p") >= 0.5).alias("pass"))
 
 
@@ -242,7 +242,7 @@ def hypernym_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = it.crossJoin(F.broadcast(c)).select("sup", "id", "label", dot("e", "c").alias("s"))
     s = s.withColumn("rn", F.row_number().over(Window.partitionBy("sup").orderBy(F.desc("s"), "id")))
     n = it.groupBy(F.col("ds").alias("sup")).agg(F.count("*").alias("r"))
-    own = s.join(F.broadcast(n), "sup").where(F.col("label") % 3 == F.col("sup"))
+    own = s.join(small(n), "sup").where(F.col("label") % 3 == F.col("sup"))
     return own.groupBy("sup", F.col("label").alias("child")).agg((F.count_if(F.col("rn") <= 100) / 100).alias("p_part"), F.round(F.count_if(F.col("rn") <= F.col("r")) / F.count("*"), 6).alias("recall"))
 
 
@@ -274,7 +274,7 @@ def negative_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = s.withColumn("rn", F.row_number().over(w)).where("rn <= 10").withColumn("tp", F.sum((F.col("label") == F.col("q")).cast("int")).over(Window.partitionBy("q").orderBy("rn")))
     hits = top.withColumn("hits", F.max("tp").over(Window.partitionBy("q")))
     t = hits.groupBy("q").agg(F.max(F.when(F.col("tp") >= 0.7 * F.col("hits"), F.col("s"))).alias("tau"))
-    j = s.join(F.broadcast(t), "q").groupBy("q", "tau").agg(F.count_if((F.col("s") >= F.col("tau")) & (F.col("label") != F.col("q"))).alias("leaked"))
+    j = s.join(small(t), "q").groupBy("q", "tau").agg(F.count_if((F.col("s") >= F.col("tau")) & (F.col("label") != F.col("q"))).alias("leaked"))
     return j.select("q", _r("tau"), "leaked")
 
 

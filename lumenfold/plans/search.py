@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.functions import text as tx
 from lumenfold.functions.calib import text_p, z_p
-from lumenfold.functions.vector import dot
+from lumenfold.functions.vector import dot, products
 from lumenfold.operators import search as op
 from lumenfold.operators.catalog import items, tag_vectors
 from lumenfold.registry import CORE
@@ -36,8 +37,8 @@ def _fits(spark: SparkSession) -> DataFrame:
 
 
 def _text(it: DataFrame) -> DataFrame:
-    q = it.where("id = 0").select(F.col("e").alias("qe"))
-    return it.crossJoin(F.broadcast(q)).select("id", "ds", dot("e", "qe").alias("cos")).withColumn("p_text", text_p(F.col("cos")))
+    q = np.array(it.where("id = 0").select("e").first()[0], np.float64)  # one query vector
+    return products(it, ["id", "ds"], "e", q[None, :]).select("id", "ds", F.col("cos")[0].alias("cos")).withColumn("p_text", text_p(F.col("cos")))
 
 
 def _tagged(spark: SparkSession, it: DataFrame) -> DataFrame:

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 #: Upper bound on the rows of a side that may be broadcast; beyond it the join shuffles (AQE splits skewed keys).
 BROADCAST_ROWS = 200_000
 
+#: And of its bytes.
+BROADCAST_BYTES = 256 << 20
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _made: list[tuple[SparkSession, str]] = []
@@ -44,6 +47,8 @@ def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir; only where that is unset (tests), a folder of our own is set."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "lumenfold-scratch")
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -91,9 +96,13 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks df for broadcast if, and only if, a count shows that it has at most max_rows rows."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Marks df for broadcast if, and only if, it is counted and has at most max_rows rows and about max_bytes; texts and arrays
+    are measured, other columns taken as 8 bytes."""
+    wide = [f.name for f in df.schema.fields if f.dataType.typeName() in ("string", "binary", "array", "map")]
+    size = sum((F.coalesce(F.length(c) if df.schema[c].dataType.typeName() in ("string", "binary") else 16 * F.size(c), F.lit(0)) for c in wide), F.lit(8 * len(df.columns)))
+    n, held = df.limit(max_rows + 1).select(size.alias("s")).agg(F.count("*"), F.coalesce(F.sum("s"), F.lit(0))).first()
+    return F.broadcast(df) if n <= max_rows and held <= max_bytes else df
 
 
 def partitions(spark: SparkSession, least: int = 1) -> int:
