@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenfold.functions.vector import dot, rows_of
+from lumenfold.operators.search import bank_of
 from lumenfold.session import small
 
 #: Equal parts of 0..1 that running counts are first taken over; rows are then ranked within a part only.
@@ -100,3 +104,49 @@ def histogram(df: DataFrame, value: str, edges: list[float], by: list[str]) -> D
         upper = v <= edges[i + 1] if i == last else v < edges[i + 1]
         bucket = F.when((v >= edges[i]) & upper, i).otherwise(bucket)
     return df.withColumn("bin", bucket).where("bin IS NOT NULL").groupBy(*by, "bin").agg(F.count("*").alias("n"))
+
+
+def ranks_over(items: DataFrame, queries: DataFrame, slack: float = 1e-12) -> DataFrame:
+    """(q, rank): for each query (q, target, qe) the number of items, its target left out, with a higher cosine than the target.
+
+    Items: (id, e). The queries are a bank of at most MAX_BANK vectors; every batch of items is multiplied with it once and only
+    counts leave the batch.
+    """
+    own = queries.join(items.select(F.col("id").alias("target"), F.col("e").alias("te")), "target").withColumn("own", dot("qe", "te"))
+    names, bank = bank_of(own.withColumnRenamed("qe", "c"), "q", "target", "own")
+    if not names:
+        return items.sparkSession.createDataFrame([], "q long, rank long")
+    q, target, floor = (np.array([n[k] for n in names]) for k in range(3))
+    shared = items.sparkSession.sparkContext.broadcast((bank.T.copy(), floor + slack))
+
+    def count(batches):
+        right, least = shared.value
+        for b in batches:
+            if b.num_rows:
+                over = rows_of(b.column(1)) @ right > least
+                over &= b.column(0).to_numpy()[:, None] != target[None, :]
+                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(over.sum(0))], names=["q", "n"])
+
+    return items.select("id", "e").mapInArrow(count, "q long, n long").groupBy("q").agg(F.sum("n").alias("rank"))
+
+
+def top_neighbours(items: DataFrame, queries: DataFrame, vec: str, k: int) -> DataFrame:
+    """(q, id, rank): the k items of highest inner product with each query (id, vec), the query left out; ties by id. Every batch
+    of items yields at most k candidates a query."""
+    names, bank = bank_of(queries.select(F.col("id").alias("q"), F.col(vec).alias("c")), "q")
+    q = np.array([n[0] for n in names], np.int64)
+    shared = items.sparkSession.sparkContext.broadcast(bank.T.copy())
+
+    def best(batches):
+        for b in batches:
+            if b.num_rows and len(q):
+                ids, c = b.column(0).to_numpy(), np.round(rows_of(b.column(1)) @ shared.value, 12)
+                c[ids[:, None] == q[None, :]] = -np.inf
+                order = np.lexsort((np.broadcast_to(ids[:, None], c.shape), -c), axis=0)[:k]
+                s = np.take_along_axis(c, order, axis=0)
+                i, j = np.nonzero(s > -np.inf)
+                yield pa.RecordBatch.from_arrays([pa.array(q[j]), pa.array(ids[order[i, j]]), pa.array(s[i, j])], names=["q", "id", "s"])
+
+    got = items.select("id", vec).mapInArrow(best, "q long, id long, s double")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "id"))
+    return got.withColumn("rank", rank).where(F.col("rank") <= k).select("q", "id", "rank")

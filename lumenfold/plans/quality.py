@@ -29,8 +29,8 @@ def _curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.running(_scored(spark, sf_dir), ["tag"])
 
 
-def _r(c: str, n: int = 6):
-    return F.round(c, n).alias(c)
+def _r(c: str, name: str | None = None, n: int = 6):
+    return F.round(c, n).alias(name or c)
 
 
 @CORE.add("avg_precision", f"WITH {CURVE} SELECT tag, round(sum(y * tp / rn) / sum(y), 6) AS ap, max(n) AS n, max(pos)::BIGINT AS pos FROM cv GROUP BY tag")
@@ -170,13 +170,14 @@ def score_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @CORE.add(
     "tau_sweep",
-    f"""WITH t AS ({CLEANP}), v AS (SELECT * FROM (VALUES (0.2::DOUBLE), (0.4), (0.6), (0.8)) AS x(tau)) SELECT tau, round(avg((p >= tau)::INT) FILTER (category = 'weapons'), 6) AS weapons, round(avg((p >= tau)::INT) FILTER (category = 'sports'), 6) AS sports FROM t, v GROUP BY tau""",
+    f"""WITH t AS ({CLEANP}), v AS (SELECT * FROM (VALUES (0.2::DOUBLE), (0.4), (0.6), (0.8)) AS x(tau)) SELECT category, tau, round(avg((p >= tau)::INT), 6) AS share FROM t, v GROUP BY ALL""",
 )
 def tau_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flag rate per threshold and slice."""
-    v = F.explode(F.array(*[F.lit(x) for x in (0.2, 0.4, 0.6, 0.8)])).alias("tau")
-    s = _p(spark, sf_dir).where("category IN ('weapons', 'sports')").select("category", "p", v).groupBy("tau").pivot("category", ["weapons", "sports"]).agg(F.avg((F.col("p") >= F.col("tau")).cast("int")))
-    return s.select("tau", _r("weapons"), _r("sports"))
+    """Flag rate per threshold and slice, every category a slice; one pass, the thresholds are columns until the end."""
+    taus = (0.2, 0.4, 0.6, 0.8)
+    rates = _p(spark, sf_dir).groupBy("category").agg(*[F.avg((F.col("p") >= t).cast("int")).alias(f"t{i}") for i, t in enumerate(taus)])
+    each = F.explode(F.array(*[F.struct(F.lit(t).alias("tau"), F.round(f"t{i}", 6).alias("share")) for i, t in enumerate(taus)])).alias("s")
+    return rates.select("category", each).select("category", "s.tau", "s.share")
 
 
 @CORE.add(
@@ -248,18 +249,18 @@ def hypernym_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @CORE.add(
     "retrieval_rank",
-    f"""WITH {U}, q AS (SELECT id AS q, (id + 1) % 500 AS target, e AS qe FROM u WHERE id % 50 = 0 AND id < 500), s AS (SELECT q.q, u.id, list_dot_product(u.e, qe) AS s FROM u, q),
-    o AS (SELECT s.q, s.s AS own FROM s JOIN q ON s.q = q.q AND s.id = q.target), r AS (SELECT s.q, count(*) FILTER (s.s > own) AS rank FROM s JOIN o USING (q) GROUP BY s.q)
-    SELECT count(*) AS queries, round(100 * avg((rank < 10)::INT), 4) AS r10, round(100 * avg((rank < 100)::INT), 4) AS r100, median(rank)::DOUBLE AS median_rank FROM r""",
+    f"""WITH {U}, q AS (SELECT a.id AS q, b.id AS target, a.e AS qe, list_dot_product(a.e, b.e) AS own FROM u a JOIN u b ON b.id = a.id + 1 WHERE a.id % 20 = 0),
+    r AS (SELECT q.q, count(*) FILTER (u.id <> target AND list_dot_product(u.e, qe) > own + 1e-12) AS rank FROM u, q GROUP BY q.q)
+    SELECT count(*) AS queries, round(100 * avg((rank < 1)::INT), 4) AS r1, round(100 * avg((rank < 5)::INT), 4) AS r5, round(100 * avg((rank < 10)::INT), 4) AS r10, round(100 * avg((rank < 100)::INT), 4) AS r100, median(rank)::DOUBLE AS median_rank FROM r""",
 )
 def retrieval_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Retrieval of one target per query: recall at 10 and 100 and median rank, for the ten queries and 500 targets that the SQL states;
-    A18 in part, without recall at 1 and 5 and without the other records."""
-    it = items(spark, sf_dir)
-    q = it.where("id % 50 = 0 AND id < 500").select(F.col("id").alias("q"), ((F.col("id") + 1) % 500).alias("target"), F.col("e").alias("qe"))
-    s = it.crossJoin(F.broadcast(q)).select("q", "id", dot("e", "qe").alias("s"))
-    r = op.retrieval_ranks(q.select("q", "target"), s)
-    return r.agg(F.count("*").alias("queries"), F.round(100 * F.avg((F.col("rank") < 10).cast("int")), 4).alias("r10"), F.round(100 * F.avg((F.col("rank") < 100).cast("int")), 4).alias("r100"), F.expr("percentile(rank, 0.5)").alias("median_rank"))
+    """Retrieval of one target per query among all records: recall at 1, 5, 10 and 100 and median rank; every record whose id is
+    divisible by 20 is a query, the next record its target (A18)."""
+    it = items(spark, sf_dir).select("id", "e")
+    q = it.where("id % 20 = 0").select(F.col("id").alias("q"), (F.col("id") + 1).alias("target"), F.col("e").alias("qe"))
+    r = op.ranks_over(it, q)
+    share = [F.round(100 * F.avg((F.col("rank") < k).cast("int")), 4).alias(f"r{k}") for k in (1, 5, 10, 100)]
+    return r.agg(F.count("*").alias("queries"), *share, F.expr("percentile(rank, 0.5)").alias("median_rank"))
 
 
 @CORE.add(
@@ -280,23 +281,31 @@ def negative_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @CORE.add(
     "fidelity_nn",
-    f"""WITH {U}, v AS (SELECT id, e, list_transform(e, lambda x: round(x * 8) / 8) AS f FROM u), s AS (SELECT a.id, b.id AS o, list_dot_product(a.e, b.e) AS x, list_dot_product(a.f, b.f) / (sqrt(list_dot_product(a.f, a.f)) * sqrt(list_dot_product(b.f, b.f))) AS y FROM v a JOIN v b ON a.id <> b.id AND a.id < 100),
+    f"""WITH {U}, v AS (SELECT id, e, list_transform(e, lambda x: round(x * 8) / 8) AS f FROM u), n AS (SELECT id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e, list_transform(f, lambda x: x / sqrt(list_dot_product(f, f))) AS f FROM v),
+    s AS (SELECT a.id, b.id AS o, round(list_dot_product(a.e, b.e), 12) AS x, round(list_dot_product(a.f, b.f), 12) AS y FROM n a JOIN n b ON a.id <> b.id AND a.id % 20 = 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY x DESC, o) AS rx, row_number() OVER (PARTITION BY id ORDER BY y DESC, o) AS ry FROM s),
-    t AS (SELECT id, list(o) FILTER (rx <= 3) AS a, list(o) FILTER (ry <= 3) AS b, max(o) FILTER (rx = 1) = max(o) FILTER (ry = 1) AS agree FROM r GROUP BY id)
-    SELECT round(avg(agree::INT), 6) AS nn_agree, round(avg(len(list_intersect(a, b)) / 3), 6) AS top3_overlap, count(*) AS n FROM t""",
+    t AS (SELECT id, list(o) FILTER (rx <= 3) AS a, list(o) FILTER (ry <= 3) AS b, max(o) FILTER (rx = 1) = max(o) FILTER (ry = 1) AS agree FROM r GROUP BY id),
+    c AS (SELECT avg(list_dot_product(e, f)) AS m, min(list_dot_product(e, f)) AS l, quantile_cont(list_dot_product(e, f), 0.01) AS p1 FROM n),
+    g AS (SELECT avg(agree::INT) AS nn, avg(len(list_intersect(a, b)) / 3) AS top3, count(*) AS n FROM t)
+    SELECT round(m, 6) AS mean_cos, round(l, 6) AS min_cos, round(p1, 6) AS p1_cos, round(nn, 6) AS nn_agree, round(top3, 6) AS top3_overlap, n, CASE WHEN m < 0.95 OR nn < 0.6 THEN 'banned' WHEN nn >= 0.9 THEN 'default' ELSE 'optin' END AS verdict FROM c, g""",
 )
 def fidelity_nn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbours under a coarse copy of the vectors against the true ones, for the records below 100 that the SQL states
-    (J10 U5 M6; A42 in part, without mean, least and p1 cosine and verdict)."""
-    from lumenfold.functions.vector import cosine
+    """A coarse copy of the vectors against the true ones: mean, least and first-percentile cosine over all records, and the
+    agreement of neighbours among all records, of every record whose id is divisible by 20, with the verdict (A42 F40 J10 U5 M6)."""
+    from lumenfold.functions.vector import l2_normalise
 
     it = items(spark, sf_dir).select("id", "e", F.transform("e", lambda x: F.round(x * 8) / 8).alias("f"))
-    q = it.where("id < 100").select(F.col("id").alias("q"), F.col("e").alias("qe"), F.col("f").alias("qf"))
-    s = it.crossJoin(F.broadcast(q)).where("id <> q").select("q", "id", dot("e", "qe").alias("x"), cosine("f", "qf").alias("y"))
-    r = s.withColumn("rx", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("x"), "id"))).withColumn("ry", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("y"), "id"))).where("rx <= 3 OR ry <= 3")
-    pick = lambda c, v: F.collect_list(F.when(v, F.col("id"))).alias(c)
-    t = r.groupBy("q").agg(pick("a", F.col("rx") <= 3), pick("b", F.col("ry") <= 3), (F.max(F.when(F.col("rx") == 1, F.col("id"))) == F.max(F.when(F.col("ry") == 1, F.col("id")))).alias("agree"))
-    return t.agg(F.round(F.avg(F.col("agree").cast("int")), 6).alias("nn_agree"), F.round(F.avg(F.size(F.array_intersect("a", "b")) / 3), 6).alias("top3_overlap"), F.count("*").alias("n"))
+    it = it.select("id", l2_normalise("e").alias("e"), l2_normalise("f").alias("f"))
+    q = it.where("id % 20 = 0")
+    x, y = op.top_neighbours(it, q, "e", 3), op.top_neighbours(it, q, "f", 3)
+    pick = lambda d, c: d.groupBy("q").agg(F.collect_list("id").alias(c), F.max(F.when(F.col("rank") == 1, F.col("id"))).alias(f"{c}1"))
+    t = pick(x, "a").join(pick(y, "b"), "q")
+    g = t.agg(F.avg((F.col("a1") == F.col("b1")).cast("int")).alias("nn"), F.avg(F.size(F.array_intersect("a", "b")) / 3).alias("top3"), F.count("*").alias("n"))
+    cos = dot("e", "f")
+    c = it.agg(F.avg(cos).alias("m"), F.min(cos).alias("l"), F.expr("percentile(aggregate(zip_with(e, f, (x, y) -> x * y), 0D, (s, v) -> s + v), 0.01)").alias("p1"))
+    verdict = F.when((F.col("m") < 0.95) | (F.col("nn") < 0.6), "banned").when(F.col("nn") >= 0.9, "default").otherwise("optin")
+    return c.crossJoin(F.broadcast(g)).select(_r("m", "mean_cos"), _r("l", "min_cos"), _r("p1", "p1_cos"), _r("nn", "nn_agree"), _r("top3", "top3_overlap"), "n", verdict.alias("verdict"))  # one row each
+
 
 
 @CORE.add(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from lumenfold.operators import tracks
 from lumenfold.operators.store import Table
 from lumenfold.registry import CORE
 from lumenfold.session import scratch_path, table
-from lumenfold.sources.pixels import AxisEncoder, apply_heads, embed
+from lumenfold.sources.pixels import apply_heads, embed
 from lumenfold.streaming import ingest as st
 
 
@@ -54,14 +55,28 @@ def track_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.read().select("rec_id", F.round("p", 6).alias("p"))
 
 
+class Initials:
+    """An encoder for names: one axis a letter, by the first letter of each word."""
+
+    dim, model_id = 26, "initials"
+
+    def embed_texts(self, texts: list[str]) -> np.ndarray:
+        x = np.zeros((len(texts), self.dim))
+        for i, t in enumerate(texts):
+            for w in t.lower().split():
+                if "a" <= w[0] <= "z":
+                    x[i, ord(w[0]) - 97] += 1.0
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
 @CORE.add(
     "encoded_names",
-    "SELECT n_nationkey, CASE WHEN contains(lower(n_name), 'cat') THEN 'cat' ELSE 'other' END AS axis FROM nation",
+    "SELECT n_nationkey, upper(substr(trim(n_name), 1, 1)) AS initial FROM nation WHERE NOT contains(trim(n_name), ' ')",
 )
 def encoded_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts through a pluggable encoder, one batch at a time (X6 SRC19 D17)."""
-    e = embed(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_name", lambda: AxisEncoder(("cat",)))
-    return e.select("n_nationkey", F.when(F.col("e")[0] > 0, "cat").otherwise("other").alias("axis"))
+    """Texts through a pluggable encoder, one batch at a time; names of one word have one axis (X6 SRC19 D17)."""
+    e = embed(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_name", Initials).where("NOT contains(trim(n_name), ' ')")
+    return e.select("n_nationkey", F.char(F.array_position("e", F.array_max("e")) + 64).alias("initial"))
 
 
 @CORE.add(

@@ -277,7 +277,7 @@ def head_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT track_id, CASE WHEN p IS NULL THEN 'unknown' WHEN tv IS NULL OR tv2 IS NULL OR tv < tv2 THEN 'pending' WHEN p >= tv THEN 'violation' WHEN p >= tv2 THEN 'review' ELSE 'none' END AS tier FROM tr JOIN c USING (dataset) WHERE category = 'weapons'""",
 )
 def head_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tiers from each head's own thresholds; missing or misordered thresholds leave rows pending."""
+    """Tiers from each head's own thresholds; missing or misordered thresholds leave rows pending."""
     h = table(spark, sf_dir, "weapons_heads").withColumn("r", F.row_number().over(Window.partitionBy("dataset").orderBy(F.desc("fitted_at"), "model_id"))).where("r = 1")
     h = h.select("dataset", cal.clean_score(F.col("tau_violation")).alias("tv"), cal.clean_score(F.col("tau_review")).alias("tr"))
     t = op.clean_tracks(table(spark, sf_dir, "tracks")).where("category = 'weapons'").join(h, "dataset")
@@ -293,7 +293,7 @@ def head_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT id, category, why, nearest_benign, round(least({SIG.format("20 * m")}, 4.0 / 5.0), 4) AS p FROM p""",
 )
 def scorer_why(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The concept that decided and the nearest benign one, with the evidence cap on p."""
+    """The concept that decided and the nearest benign one, with the evidence cap on p."""
     from lumenfold.functions.vector import dot
 
     it, concepts = _concepts(spark, sf_dir)
@@ -332,7 +332,7 @@ def cascade_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT id, (list_position(y, list_max(y)) - 1)::INT AS label, round(list_max(y) / list_sum(y), 6) AS p FROM e""",
 )
 def softmax_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Softmax over all concepts, best label."""
+    """Softmax over all concepts, best label."""
     it, _ = _concepts(spark, sf_dir)
     from lumenfold.operators.search import score_tags
 
@@ -352,12 +352,13 @@ def track_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @CORE.add(
     "track_gap_fill",
-    f"""WITH {CLEAN}, i AS (SELECT DISTINCT dataset, lower(trim(image_id)) AS image_id FROM images), c AS (SELECT * FROM (VALUES ('drugs'), ('sports')) AS v(category)),
+    f"""WITH {CLEAN}, i AS (SELECT DISTINCT dataset, lower(trim(image_id)) AS image_id FROM images), c AS (SELECT DISTINCT category FROM tr WHERE category IS NOT NULL),
     m AS (SELECT dataset, image_id, category, max(p) AS p FROM tr GROUP BY ALL) SELECT i.dataset, c.category, count(*) AS n_rows, count(p) AS scored FROM i CROSS JOIN c LEFT JOIN m USING (dataset, image_id, category) GROUP BY ALL""",
 )
 def track_gap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every track has as many rows as its data set; gaps are null (J1 SNK4 SNK5)."""
     i = table(spark, sf_dir, "images").select("dataset", F.lower(F.trim("image_id")).alias("image_id")).distinct()
-    c = F.explode(F.array(F.lit("drugs"), F.lit("sports"))).alias("category")
-    m = op.clean_tracks(table(spark, sf_dir, "tracks")).where("category IN ('drugs', 'sports')").groupBy("dataset", "image_id", "category").agg(F.max("p").alias("p"))
+    t = op.clean_tracks(table(spark, sf_dir, "tracks")).where("category IS NOT NULL")
+    c = F.explode(F.array(*[F.lit(r[0]) for r in t.select("category").distinct().limit(1_000).collect()])).alias("category")  # the tracks: a few names
+    m = t.groupBy("dataset", "image_id", "category").agg(F.max("p").alias("p"))
     return i.select("dataset", "image_id", c).join(m, ["dataset", "image_id", "category"], "left").groupBy("dataset", "category").agg(F.count("*").alias("n_rows"), F.count("p").alias("scored"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from lumenfold.operators import ingest as ing
 from lumenfold.operators.store import Conflict, Table, UnknownDataset
 from lumenfold.sources import files
-from lumenfold.sources.pixels import AxisEncoder, apply_heads, embed, flat
+from lumenfold.plans.storage import Initials
+from lumenfold.sources.pixels import apply_heads, embed, flat
 from lumenfold.streaming import ingest as st
 
 
@@ -92,7 +93,7 @@ def test_sources(spark, tmp_path):
 
 
 def test_heads_are_isolated(spark):
-    df = embed(spark.createDataFrame([(1, "a cat"), (2, None)], "id long, t string"), "t", AxisEncoder)
+    df = embed(spark.createDataFrame([(1, "apple"), (2, None)], "id long, t string"), "t", Initials)
     assert df.where("id = 2").first()["e"] is None and df.where("id = 1").first()["e"][0] == 1.0
 
     def broken(x):
