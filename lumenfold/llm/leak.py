@@ -50,7 +50,7 @@ class ItemIndex:
     """Inverted index of test items: sparse postings by term, and the highest impact of each term in each block of BLOCK items.
 
     Impacts are BM25 contributions divided by the least score of a passage that holds OVERLAP words of the item in a row, so
-    that 1 is the threshold of every item. Size: 12 bytes a posting and 12 a block posting; nothing is dense.
+    that 1 is the threshold of every item. Size: 16 bytes a posting and 16 a block posting; nothing is dense.
     """
 
     ids: np.ndarray  # item ids
