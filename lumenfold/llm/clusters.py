@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm.cells import buckets, column, map_arrow, matrix, packed, pairs_at_least, unit, vectors
+from lumenfold.llm.cells import buckets, column, map_arrow, marked, matrix, packed, pairs_at_least, unit, vectors
 from lumenfold.session import partitions, small, stage
 
 TAU = 0.73
@@ -224,7 +224,7 @@ def ward(n: np.ndarray, ls: np.ndarray, tau: float = TAU) -> np.ndarray:
 
     for s in range(0, k, 1024):
         prod = ls[s : s + 1024] @ ls.T
-        i, j = np.nonzero(prod >= tau * n[s : s + 1024, None] * n[None, :])
+        i, j = marked(prod >= tau * n[s : s + 1024, None] * n[None, :])
         i, j, prod = i[s + i < j] + s, j[s + i < j], prod[i[s + i < j], j[s + i < j]]
         heap += zip(cost(i, j, prod).tolist(), i.tolist(), j.tolist(), [0] * len(i), [0] * len(i))
     heapq.heapify(heap)
@@ -297,7 +297,7 @@ def check(x: np.ndarray, raw: np.ndarray, weight: np.ndarray, cluster: np.ndarra
     movers = np.flatnonzero(kind != RIM)
     for s in range(0, len(movers), 2048):
         m = movers[s : s + 2048]
-        i, k = np.nonzero(x[m] @ c.T >= limit)
+        i, k = marked(x[m] @ c.T >= limit)
         ok = names[k] > cluster[m[i]]
         ask_q.append(m[i[ok]])
         ask_c.append(k[ok])
@@ -513,7 +513,7 @@ def _met(rows: DataFrame, model: DataFrame, sizes: DataFrame) -> DataFrame:
         kind.append(np.full(int(other.sum()), RIM))
         limit = np.cos(np.clip(ALPHA + radius + SLACK, 0, np.pi)).astype(np.float32)
         for s in range(0, len(x), 2048):
-            i, k = np.nonzero(x[s : s + 2048] @ c.T >= limit)
+            i, k = marked(x[s : s + 2048] @ c.T >= limit)
             i = i + s
             i, k = i[k > at[i]], k[k > at[i]]
             rep = np.repeat(np.arange(len(i)), tasks[k])

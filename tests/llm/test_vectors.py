@@ -106,6 +106,29 @@ def test_repeats_hot_group(spark):
     assert dedup.repeats(images(spark, [])).count() == 0
 
 
+def test_repeats_decided_by_a_task(spark, monkeypatch):
+    rows = table(spark, 8)
+    for links, held in ((-1, 5), (100_000, 5)):  # links decided by a task, or by the driver; pairs written as they come
+        monkeypatch.setattr(dedup, "DRIVER_LINKS", links)
+        monkeypatch.setattr(dedup, "HELD_PAIRS", held)
+        assert {tuple(r) for r in dedup.repeats(images(spark, rows)).collect()} == brute_repeats(rows)
+
+
+def test_a_batch_takes_few_jobs(spark):
+    rows = [(*r[:4], i % 20, 0) for i, r in enumerate(table(spark, 9))]
+    spark.sparkContext.setJobGroup("p1", "a commit an ingest")
+    got = {tuple(r) for r in dedup.repeats(images(spark, rows)).collect()}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == brute_repeats(rows)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("p1")) <= 6 * 20
+
+
+def test_marked_is_nonzero():
+    mask = np.random.default_rng(1).random((37, 113)) < 0.01
+    for m in (mask, mask[:0], mask[:, :0], mask[:, ::2]):
+        assert all((a == b).all() for a, b in zip(cells.marked(m), np.nonzero(m)))
+
+
 def arc(seed, degrees):
     """Unit vectors on one great circle."""
     a, b = np.linalg.qr(np.random.default_rng(seed).normal(size=(64, 2)))[0].T
