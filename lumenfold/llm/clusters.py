@@ -17,7 +17,11 @@ ALPHA = float(np.arccos(TAU))
 #: Root-mean-square distance of a leaf's rows from their mean, at most; grows where a tree would hold over MAX_LEAVES leaves.
 LEAF_RADIUS = 0.35
 #: Entries of a tree node, and leaves of a tree.
-BRANCH, MAX_LEAVES = 48, 16_384
+BRANCH, MAX_LEAVES = 48, 32_768
+#: A row farther from every centre is a stray. No member of a group with mean cosine TAU lies farther from the group's centre.
+STRAY = float(np.arccos(np.sqrt(TAU))) + 1e-3
+#: Strays that one task compares with as many others.
+STRAY_ROWS = 65_536
 #: Rows of one part, which one tree is built on; a data set of more rows has several parts.
 PART_ROWS = 8_192
 #: Rows that one task of the exact check holds for a data set of several parts.
@@ -65,10 +69,11 @@ class CFTree:
     """A cluster-feature tree. Features go down to the nearest entry, many at once: at each node one matrix product deals them
     to the entries. In a leaf, an entry absorbs the features that leave its radius within bounds and whose mean cosine to it
     stays over the bound; the others open entries. Nodes of more than BRANCH entries split at their two farthest entries. A
-    tree of more than MAX_LEAVES leaves is built again from its leaves with a wider radius."""
+    tree of more than MAX_LEAVES leaves is built again from its leaves with a wider radius, or, with shed, from the heaviest
+    half of them: rows of the others then have no centre near them and are strays."""
 
-    def __init__(self, radius: float = LEAF_RADIUS, max_leaves: int = MAX_LEAVES):
-        self.radius, self.max_leaves = radius, max_leaves
+    def __init__(self, radius: float = LEAF_RADIUS, max_leaves: int = MAX_LEAVES, shed: bool = False):
+        self.radius, self.max_leaves, self.shed = radius, max_leaves, shed
         self.root: _Node | None = None
 
     def insert(self, f: Features, block: int = 1024) -> None:
@@ -80,8 +85,11 @@ class CFTree:
             self.root = nodes[0]
             while self.size() > self.max_leaves:
                 leaves = self.leaves()
-                self.radius, self.root = self.radius * 1.25, None
-                self.insert(leaves.take(np.argsort(-leaves.n, kind="stable")), block)
+                order = np.argsort(-leaves.n, kind="stable")
+                if self.shed:
+                    order = order[: max(1, self.max_leaves // 2)]
+                self.radius, self.root = self.radius * (1 if self.shed else 1.25), None
+                self.insert(leaves.take(order), block)
 
     def size(self) -> int:
         todo, n = [self.root], 0
@@ -301,7 +309,7 @@ def check(x: np.ndarray, raw: np.ndarray, weight: np.ndarray, cluster: np.ndarra
         ok = names[k] > cluster[m[i]]
         ask_q.append(m[i[ok]])
         ask_c.append(k[ok])
-    rim = np.flatnonzero(here & ~inner & (kind != VISITOR))
+    rim = np.flatnonzero(here & ~inner & (kind != VISITOR) & (cluster >= 0))  # strays meet strays elsewhere
     ask_q.append(rim)
     ask_c.append(at[rim])
     q, k = np.concatenate(ask_q), np.concatenate(ask_c)
@@ -412,16 +420,18 @@ def _leaf_table(ds: int, part: int, f: Features) -> pa.Table:
 
 def _merged(t: pa.Table) -> CFTree:
     """One tree of the leaves of several."""
-    ls = np.frombuffer(b"".join(t["ls"].to_pylist()), np.float64).reshape(t.num_rows, -1)
+    a = t["ls"].combine_chunks()
+    start, end = np.frombuffer(a.buffers()[1], np.int32)[[a.offset, a.offset + len(a)]]
+    ls = np.frombuffer(a.buffers()[2], np.float64, (end - start) // 8, start).reshape(t.num_rows, -1)
     f = Features(column(t, "n"), ls, column(t, "ss"))
-    tree = CFTree()
+    tree = CFTree(shed=True)
     tree.insert(f.take(np.argsort(-f.n, kind="stable")))
     return tree
 
 
 def set_centres(reps: DataFrame, sizes: DataFrame, parts: int) -> DataFrame:
     """(ds, cluster, centre) of data sets of several parts: a tree a part, leaves reduced FAN_IN trees at a time until one tree
-    a data set is left, and Ward on its leaves. At most MAX_LEAVES clusters a data set."""
+    a data set is left, and Ward on its leaves. At most MAX_LEAVES clusters a data set; cluster -1, without centre, takes its strays."""
 
     def build(key: tuple, t: pa.Table) -> pa.Table:
         x = unit(matrix(t["vec"]))
@@ -432,7 +442,8 @@ def set_centres(reps: DataFrame, sizes: DataFrame, parts: int) -> DataFrame:
 
     def agglomerate(key: tuple, t: pa.Table) -> pa.Table:
         c = centres(_merged(t).leaves())
-        return pa.table({"ds": np.full(len(c), key[0].as_py(), np.int64), "cluster": np.arange(len(c), dtype=np.int32), "centre": packed(c)})
+        c = np.concatenate([np.zeros((1, c.shape[1]), c.dtype), c])
+        return pa.table({"ds": np.full(len(c), key[0].as_py(), np.int64), "cluster": np.arange(-1, len(c) - 1, dtype=np.int32), "centre": packed(c)})
 
     leaves = reps.groupBy("ds", "part").applyInArrow(build, _LEAVES)
     while parts > FAN_IN:
@@ -451,9 +462,10 @@ def _assigned(reps: DataFrame, model: DataFrame, sizes: DataFrame) -> DataFrame:
     """The full assignment pass: each row with its nearest centre."""
 
     def f(t: pa.Table, m: pa.Table) -> pa.Table:
-        t = t.select(["ds", "part", "rec_id", "w", "vec"])
+        t, m = t.select(["ds", "part", "rec_id", "w", "vec"]), m.filter(pa.array(column(m, "cluster") >= 0)) if m.num_rows else m
         cluster, angle = assign(unit(matrix(t["vec"])), matrix(m["centre"])) if t.num_rows and m.num_rows else (np.empty(0), np.empty(0))
         number = column(m, "cluster")[cluster.astype(np.int64)] if len(cluster) else np.empty(0, np.int32)
+        number, angle = np.where(angle > STRAY, -1, number).astype(np.int32), np.where(angle > STRAY, np.pi, angle).astype(np.float32)
         return t.slice(0, len(cluster)).append_column("cluster", pa.array(number, pa.int32())).append_column("angle", pa.array(angle, pa.float32()))
 
     schema = "ds long, part int, rec_id long, w long, vec binary, cluster int, angle float"
@@ -504,7 +516,7 @@ def _met(rows: DataFrame, model: DataFrame, sizes: DataFrame) -> DataFrame:
         own = first[at] + (h >> np.uint64(33)).astype(np.int64) % tasks[at]
         row, task, kind = [np.arange(len(rec))], [own], [np.zeros(len(rec), np.int64)]
         # the rim of a cluster in several tasks asks in all of them
-        many = np.flatnonzero(~inner & (tasks[at] > 1))
+        many = np.flatnonzero(~inner & (tasks[at] > 1) & (names[at] >= 0))
         rep = np.repeat(many, tasks[at[many]])
         to = np.repeat(first[at[many]], tasks[at[many]]) + np.arange(len(rep)) - np.repeat(np.cumsum(tasks[at[many]]) - tasks[at[many]], tasks[at[many]])
         other = to != own[rep]
@@ -568,6 +580,33 @@ def _checked(key: tuple, t: pa.Table) -> pa.Table:
     return pa.table({"ds": np.full(len(at), ds), "rec_id": rec[at], "comp": pa.array(names, pa.string()), "degree": np.concatenate([degree[hit], np.zeros(len(also))]), "w": w[at]})
 
 
+def _strays(assigned: DataFrame) -> DataFrame:
+    """The strays of a data set with one another: dealt into blocks, each pair of blocks is one task's. Rows with neighbours."""
+    strays = assigned.where("cluster = -1").select("ds", "rec_id", "w", "vec")
+    blocks = strays.groupBy("ds").agg(F.ceil(F.count("*") / STRAY_ROWS).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("rec_id", F.lit("stray")), "blocks").cast("int").alias("block")
+    dealt = strays.join(small(blocks), "ds").select("ds", "rec_id", "w", "vec", "blocks", block)
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    pairs = dealt.select("ds", "rec_id", "w", "vec", "block", other).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+
+    def meet(key: tuple, t: pa.Table) -> pa.Table:
+        lo, hi = key[1].as_py(), key[2].as_py()
+        t = t.sort_by("rec_id")
+        raw, w, rec, first = matrix(t["vec"]), column(t, "w").astype(float), column(t, "rec_id"), column(t, "block") == lo
+        x = unit(raw)
+        a, b = np.flatnonzero(first), np.flatnonzero(~first if lo != hi else first)
+        i, j = pairs_at_least(x[a], x[b], TAU, raw[a], raw[b])
+        i, j = a[i], b[j]
+        i, j = (i[i != j], j[i != j]) if lo == hi else (np.concatenate([i, j]), np.concatenate([j, i]))
+        degree = np.zeros(len(rec))
+        np.add.at(degree, i, w[j])
+        comp, hit = components(len(rec), i, j), np.flatnonzero(degree)
+        names = pa.array([f"s{lo}/{hi}/{k}" for k in comp[hit].tolist()], pa.string())
+        return pa.table({"ds": np.full(len(hit), key[0].as_py(), np.int64), "rec_id": rec[hit], "comp": names, "degree": degree[hit], "w": column(t, "w")[hit]})
+
+    return pairs.select("ds", "rec_id", "w", "vec", "block", "lo", "hi").groupBy("ds", "lo", "hi").applyInArrow(meet, _FOUND)
+
+
 def _divided(rows: DataFrame, sizes: DataFrame, parts: int, least: int, check_rows: int) -> DataFrame:
     """Members of the groups of data sets of several parts. rows: (ds, rec_id, vec).
 
@@ -580,7 +619,7 @@ def _divided(rows: DataFrame, sizes: DataFrame, parts: int, least: int, check_ro
     model = set_centres(reps, sizes, parts)
     assigned = _assigned(reps, model, sizes)
     model = _packed_clusters(assigned, model, check_rows)
-    found = stage(_met(assigned, model, sizes).groupBy("ds", "task").applyInArrow(_checked, _FOUND), "checked")
+    found = stage(_met(assigned, model, sizes).groupBy("ds", "task").applyInArrow(_checked, _FOUND).unionByName(_strays(assigned)), "checked")
     label = _components(found)
     mine = found.groupBy("ds", "rec_id").agg(F.sum("degree").alias("degree"), F.max("w").alias("w"))
     labelled = mine.join(label, ["ds", "rec_id"])

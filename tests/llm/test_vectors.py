@@ -233,6 +233,35 @@ def test_tree_and_ward():
     assert a.leaves().n.sum() == pytest.approx(len(x))
 
 
+def test_strays_do_not_widen_leaves():
+    x, _ = make(7)
+    x = np.concatenate([x.astype(np.float32), unit(np.random.default_rng(3).normal(size=(2000, 64))).astype(np.float32)])
+    tree = clusters.CFTree(max_leaves=200, shed=True)
+    tree.insert(clusters.Features.of_rows(x, np.ones(len(x))), 512)
+    heavy = clusters.CFTree()
+    heavy.insert(clusters.Features.of_rows(x, np.ones(len(x))), 512)
+    assert tree.radius == clusters.LEAF_RADIUS and len(tree.leaves()) <= 200
+    assert sorted(tree.leaves().n)[-20:] == sorted(heavy.leaves().n)[-20:]  # the groups' leaves stay
+
+
+def test_strays_meet_each_other_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(17)
+    x = list(unit(rng.normal(size=(260, 64))))
+    for a, b in ((0.85, 6), (0.75, 5)):  # loose groups, whose rows may lie far from a centre
+        c = unit(rng.normal(size=64))
+        for _ in range(b):
+            v = unit(rng.normal(size=64))
+            x.append(unit(np.sqrt(a) * c + np.sqrt(1 - a) * unit(v - (v @ c) * c)))
+    x += x[:3] * 2
+    rows = [(i, "big", f"k{i}", [float(e) for e in v], 1, 0) for i, v in enumerate(x)]
+    monkeypatch.setattr(clusters, "STRAY_ROWS", 70)
+    # all rows in cluster -1: every pair is met in the blocks and nowhere else
+    made = clusters._assigned
+    monkeypatch.setattr(clusters, "_assigned", lambda *a: made(*a).withColumns({"cluster": F.lit(-1), "angle": F.lit(np.pi).cast("float")}))
+    got = clusters.members(images(spark, rows), 3, 50, 40)
+    assert {(r.head_rec_id, r.rec_id) for r in got.collect()} == brute_groups(rows)
+
+
 def test_groups_stand_as_clusters():
     """Nearly all groups are clusters of the method as they stand; wrong labels make the exact repair find them all."""
     x, _ = make(21, groups=40, per=10, spread=0.05)
